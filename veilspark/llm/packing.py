@@ -10,12 +10,16 @@ runs depends on the capacity, not on the number of pieces.
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import map_text, materialize, record, texts_of, values_of
 
-#: Words whose ids a worker remembers, and the longest word it keeps, in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+#: Words and letter runs whose ids a worker remembers, and the longest word it keeps, in bytes.
+CACHE_WORDS, CACHE_RUNS, CACHE_BYTES = 300_000, 700_000, 64
+#: Up to here, letter classes and composition are the same in all Unicode versions in use.
+LATIN_END = "\u0250"
 
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("task_rank", pa.int64())])
@@ -34,34 +40,82 @@ class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The tokenizer's rules never look across white space, so a text's ids are those of its words, one
-    after the other, and frequent words are looked up instead of tokenised again. A worker's memory is
-    bounded by the cache's size. Ids are little-endian unsigned 32-bit numbers.
+    after the other, and frequent words are looked up instead of tokenised again. A new word is cut by
+    the tokenizer's own pattern, and only letter runs that are new as well are tokenised, many in one
+    call: each run's last id is one that ends words. Words with letters beyond Latin, or with what could
+    be a special token, go through the tokenizer as they are. A worker's memory is bounded by the sizes
+    of the two caches. Ids are little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
+        model = json.loads(self.tokenizer.to_str())
+        suffix, split = model["model"]["end_of_word_suffix"], model["pre_tokenizer"]["pretokenizers"][0]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        # The same model behind a plain split: runs arrive normalised and cut.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _direct(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 2000):
+            part = runs[at : at + 2000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                self.runs.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
+            else:
+                self.runs.update(zip(part, self._direct(part)))
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
+        if len(self.runs) > CACHE_RUNS:
+            self.runs = {}
+        plain, odd = [], []
+        for raw in words:
+            w = raw.decode("utf-8")
+            if w.isascii():
+                plain.append((raw, self.pattern.findall(w.lower()))) if "<|" not in w else odd.append((raw, w))
+            elif max(w) < LATIN_END and "<|" not in w:
+                plain.append((raw, self.pattern.findall(unicodedata.normalize("NFC", w).lower())))
+            else:
+                odd.append((raw, w))
+        self._learn_runs(list({r for _, runs in plain for r in runs}.difference(self.runs)))
+        known = self.runs
+        found = {raw: known[runs[0]] if len(runs) == 1 else b"".join([known[r] for r in runs]) for raw, runs in plain}
+        found.update(zip([raw for raw, _ in odd], self._direct([w for _, w in odd])))
+        return found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self.ids = {}
-        new = set().union(*split).difference(self.ids)
-        known = self.learn(list(new))
-        for w in new:
-            if len(w) <= CACHE_BYTES:
-                self.ids[w] = known[w]
-        look = (self.ids | known) if any(len(w) > CACHE_BYTES for w in new) else self.ids
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        known = self.learn(list(set().union(*split).difference(self.words)))
+        self.words.update((w, ids) for w, ids in known.items() if len(w) <= CACHE_BYTES)
+        look = self.words if all(len(w) <= CACHE_BYTES for w in known) else self.words | known
         for words in split:
             yield b"".join([look[w] for w in words])
 
 
+_tokenizers: dict[str, WordTokenizer] = {}  # of this worker process, for all its tasks
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """A row for each piece of each document, with its rank among its task's pieces of that length.
 
@@ -71,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words, ranks, task = WordTokenizer(tokenizer_path), defaultdict(int), TaskContext.get().partitionId()
+        words, ranks, task = tokenizer_at(tokenizer_path), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             for doc_id, ids in zip(values_of(batch, "doc_id"), words.encode(texts_of(batch))):
