@@ -68,13 +68,11 @@ def counts(docs: DataFrame) -> DataFrame:
     length = {k: F.length(k) for k in ("t1", "t2", "t3", "t4", "t5", "t6")}
     chars = [F.col("n_chars") - length["t1"], length["t1"] - length["t2"], length["t2"] - length["t3"], length["t3"] - length["t4"], length["t4"] - length["t5"], length["t5"] - length["t6"], length["t6"]]
 
-    def word_histogram(words: list[str]) -> Column:
-        each = [F.size("common") - F.size(F.array_remove("common", w)) for w in words]
-        return F.array(*each, F.size("words"))
-
-    by_lang = F.when(F.lit(False), F.array(F.lit(0)))
+    # The language's words as one array, so that one small expression counts them all.
+    listed = F.array(*map(F.lit, kinds))
     for lang, words in COMMON_WORDS.items():
-        by_lang = by_lang.when(F.col("lang_ref") == lang, word_histogram(words))
+        listed = F.when(F.col("lang_ref") == lang, F.array(*map(F.lit, words))).otherwise(listed)
+    named = F.transform(listed, lambda w: F.size("common") - F.size(F.array_remove("common", w)))
     return six.select(
         "doc_id", "lang_ref",
         F.size("words").cast("long").alias("n_words"),
@@ -84,7 +82,7 @@ def counts(docs: DataFrame) -> DataFrame:
         covered.cast("long").alias("n_repeat_words"),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.array(*chars).cast("array<long>").alias("chars"),
-        by_lang.otherwise(word_histogram(kinds)).cast("array<long>").alias("words"),
+        F.concat(named, F.array(F.size("words"))).cast("array<long>").alias("words"),
     )
 
 
