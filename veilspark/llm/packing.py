@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import map_text, materialize, record, texts_of, values_of
 
-#: Words and letter runs whose ids a worker remembers, and the longest word it keeps, in bytes.
-CACHE_WORDS, CACHE_RUNS, CACHE_BYTES = 300_000, 700_000, 64
+#: Words and runs whose ids a worker remembers, and the longest word it keeps, in bytes.
+CACHE_WORDS, CACHE_BYTES = 900_000, 64
 #: Up to here, letter classes and composition are the same in all Unicode versions in use.
 LATIN_END = "\u0250"
+#: ASCII signs that, after letters, are one run; the apostrophe may begin a contraction.
+TEXT_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS = TEXT_MARKS.encode()
 
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("task_rank", pa.int64())])
@@ -40,11 +43,11 @@ class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The tokenizer's rules never look across white space, so a text's ids are those of its words, one
-    after the other, and frequent words are looked up instead of tokenised again. A new word is cut by
-    the tokenizer's own pattern, and only letter runs that are new as well are tokenised, many in one
-    call: each run's last id is one that ends words. Words with letters beyond Latin, or with what could
-    be a special token, go through the tokenizer as they are. A worker's memory is bounded by the sizes
-    of the two caches. Ids are little-endian unsigned 32-bit numbers.
+    after the other, and known words are looked up instead of tokenised again. A new word is cut into
+    runs by the tokenizer's own pattern - mostly letters and what follows them - and only runs that are
+    new as well are tokenised, many in one call: each run's last id is one that ends words. Words with
+    letters beyond Latin, or with what could be a special token, go through the tokenizer as they are.
+    A worker's memory is bounded by the size of the cache. Ids are little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str):
@@ -61,48 +64,64 @@ class WordTokenizer:
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}
 
     def _direct(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 2000):
-            part = runs[at : at + 2000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        for at in range(0, len(runs), 4000):
+            part = runs[at : at + 4000]
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
             if len(ends) == len(part):
                 data = ids.tobytes()
-                self.runs.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
+                self.ids.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))
             else:
-                self.runs.update(zip(part, self._direct(part)))
-
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        if len(self.runs) > CACHE_RUNS:
-            self.runs = {}
-        plain, odd = [], []
-        for raw in words:
-            w = raw.decode("utf-8")
-            if w.isascii():
-                plain.append((raw, self.pattern.findall(w.lower()))) if "<|" not in w else odd.append((raw, w))
-            elif max(w) < LATIN_END and "<|" not in w:
-                plain.append((raw, self.pattern.findall(unicodedata.normalize("NFC", w).lower())))
-            else:
-                odd.append((raw, w))
-        self._learn_runs(list({r for _, runs in plain for r in runs}.difference(self.runs)))
-        known = self.runs
-        found = {raw: known[runs[0]] if len(runs) == 1 else b"".join([known[r] for r in runs]) for raw, runs in plain}
-        found.update(zip([raw for raw, _ in odd], self._direct([w for _, w in odd])))
+                self.ids.update(zip(part, self._direct([r.decode("utf-8") for r in part])))
+
+    def _runs(self, word: bytes) -> tuple[bytes, ...] | None:
+        """The runs of a word whose A-Z are lower-cased; None if it must be tokenised as it is."""
+        head = word.rstrip(MARKS)
+        if head.isalpha():
+            return head, word[len(head) :]
+        if b"<|" in word:
+            return None
+        text = word.decode("utf-8")
+        if not text.isascii():
+            if max(text) >= LATIN_END:
+                return None
+            text = unicodedata.normalize("NFC", text).lower()
+            letters = text.rstrip(TEXT_MARKS)
+            if letters.isalpha():
+                return (letters.encode(), text[len(letters) :].encode()) if len(letters) < len(text) else (letters.encode(),)
+        return tuple([r.encode() for r in self.pattern.findall(text)])
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the cache lacks. Letter words and runs stay in the cache."""
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        cut = [self._runs(w) for w in others]
+        known = self.ids
+        self._learn_runs(list({r for runs in cut if runs for r in runs}.union(letters).difference(known)))
+        odd = [w for w, runs in zip(others, cut) if runs is None]
+        found = dict(zip(odd, self._direct([w.decode("utf-8") for w in odd]))) if odd else {}
+        for w, runs in zip(others, cut):
+            if runs is not None:
+                found[w] = known[runs[0]] + known[runs[1]] if len(runs) == 2 else b"".join([known[r] for r in runs])
         return found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        known = self.learn(list(set().union(*split).difference(self.words)))
-        self.words.update((w, ids) for w, ids in known.items() if len(w) <= CACHE_BYTES)
-        look = self.words if all(len(w) <= CACHE_BYTES for w in known) else self.words | known
+        if len(self.ids) > CACHE_WORDS:
+            self.ids = {}
+        # Case is folded first, unless that could make a special token of an ordinary word.
+        split = [t.lower().split() if b"<|" not in t else [w if b"<|" in w else w.lower() for w in t.split()] for t in texts]
+        fresh = self.learn(set().union(*split).difference(self.ids))
+        if all(len(w) <= CACHE_BYTES for w in fresh):
+            self.ids.update(fresh)
+            look = self.ids
+        else:
+            look = self.ids | fresh
         for words in split:
             yield b"".join([look[w] for w in words])
 
