@@ -28,7 +28,8 @@ def apply_edits(text: Column, edits: Column) -> Column:
 def rewrite(views: DataFrame, mentions: DataFrame) -> DataFrame:
     """(doc_id, page_no, text) with surrogates. A mention's whole words go; punctuation that its text left
     out at either end stays."""
-    with_text = mentions.join(views.select(*PAGE, F.col("text").alias("view_text")), PAGE)
+    tight = mentions.withColumn("end", F.col("start") + F.length(F.rtrim(F.col("text"), F.lit(" \n")))).withColumn("surrogate", F.rtrim(F.col("surrogate"), F.lit(" \n")))
+    with_text = tight.join(views.select(*PAGE, F.col("text").alias("view_text")), PAGE)
     first = word_offsets(F.col("view_text"), F.col("w0"))
     last = F.length(F.regexp_extract(F.expr("substring(view_text, end + 1, length(view_text))"), r"^[^ \n]*", 0)) + F.col("end")
     head, tail = F.expr("substring(view_text, lo + 1, greatest(start - lo, 0))"), F.expr("substring(view_text, end + 1, greatest(hi - end, 0))")

@@ -140,22 +140,44 @@ def dob(text: Column, digest: Column) -> Column:
     return F.coalesce(F.concat(out, sep, F.date_format(moved, "yyyy")), reshape(text, digest))
 
 
-def entity_surrogate(type_: Column, text: Column, digest: Column) -> Column:
-    """The surrogate of every type but PERSON and those e-mails that follow a person."""
+def _card(text: Column, digest: Column) -> Column:
+    body = digits_of(digest, F.length(alnum(text)) - 1)
+    return refit(text, F.concat(body, _luhn_digit(body)))
+
+
+def _aadhaar(text: Column, digest: Column) -> Column:
+    body = F.concat((seed_number(digest, 8, 0) + 2).cast("string"), digits_of(F.substring(digest, 61, 100), 10))
+    return refit(text, F.concat(body, _verhoeff_digit(body)))
+
+
+def _gstin(text: Column, digest: Column) -> Column:
     plain = alnum(text)
-    card = digits_of(digest, F.length(plain) - 1)
-    aadhaar = F.concat((seed_number(digest, 8, 0) + 2).cast("string"), digits_of(F.substring(digest, 61, 100), 10))
-    country = F.length(F.regexp_extract(text, r"^\+\s?\d{1,3}", 0))
-    gstin = F.concat(F.substring(plain, 1, 2), pan(F.substring(plain, 3, 10), digest), F.substring(plain, 13, 1), F.lit("Z"), seed_number(digest, 10, 3).cast("string"))
-    ifsc = F.concat(_letters(digest, 1, 4), F.lit("0"), F.lpad(seed_number(digest, 1000000, 1).cast("string"), 6, "0"))
-    user = F.lower(F.concat(pick(FIRST_NAMES, digest, 0), F.lit("."), pick(LAST_NAMES, digest, 1), seed_number(digest, 100, 2).cast("string")))
-    return (
-        F.when(type_ == "SSN", ssn(digest)).when(type_ == "IP", ip(text, digest)).when(type_ == "PAN", refit(text, pan(text, digest)))
-        .when(type_ == "CREDIT_CARD", refit(text, F.concat(card, _luhn_digit(card)))).when(type_ == "AADHAAR", refit(text, F.concat(aadhaar, _verhoeff_digit(aadhaar))))
-        .when(type_ == "GSTIN", refit(text, gstin)).when(type_ == "IFSC", refit(text, ifsc)).when(type_ == "DIN", refit(text, digits_of(digest, F.length(plain))))
-        .when(type_ == "PHONE", reshape(text, digest, country)).when(type_ == "EMAIL", F.concat(user, F.lit("@example.com"))).when(type_ == "ORG", org(text, digest))
-        .when(type_ == "ADDRESS", address(text, digest)).when(type_ == "DOB", dob(text, digest)).otherwise(reshape(text, digest))
-    )
+    return refit(text, F.concat(F.substring(plain, 1, 2), pan(F.substring(plain, 3, 10), digest), F.substring(plain, 13, 1), F.lit("Z"), seed_number(digest, 10, 3).cast("string")))
+
+
+def _ifsc(text: Column, digest: Column) -> Column:
+    return refit(text, F.concat(_letters(digest, 1, 4), F.lit("0"), F.lpad(seed_number(digest, 1000000, 1).cast("string"), 6, "0")))
+
+
+def _mailbox(text: Column, digest: Column) -> Column:
+    return F.lower(F.concat(pick(FIRST_NAMES, digest, 0), F.lit("."), pick(LAST_NAMES, digest, 1), seed_number(digest, 100, 2).cast("string"), F.lit("@example.com")))
+
+
+#: By type: text and digest to surrogate. Types without an entry keep their shape.
+GENERATORS = {
+    "SSN": lambda text, digest: ssn(digest), "IP": ip, "PAN": lambda text, digest: refit(text, pan(text, digest)), "CREDIT_CARD": _card, "AADHAAR": _aadhaar, "GSTIN": _gstin,
+    "IFSC": _ifsc, "DIN": lambda text, digest: refit(text, digits_of(digest, F.length(alnum(text)))), "EMAIL": _mailbox, "ORG": org, "ADDRESS": address, "DOB": dob,
+    "PHONE": lambda text, digest: reshape(text, digest, F.length(F.regexp_extract(text, r"^\+\s?\d{1,3}", 0))),
+}
+
+
+def entity_surrogate(type_: Column, text: Column, digest: Column) -> Column:
+    """The surrogate of every type but PERSON and those e-mails that follow a person. ``digest`` should be
+    a column that has been computed, as it is used many times."""
+    out = reshape(text, digest)
+    for name, make in GENERATORS.items():
+        out = F.when(type_ == name, make(text, digest)).otherwise(out)
+    return out
 
 
 def _token_fake(salt: str, token: Column, last: Column) -> Column:
