@@ -95,7 +95,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
     """The share of positives among the unlabelled: half of each sample trains a classifier of one
-    against the other, and on the other halves the least ratio of the shares above a score bounds it."""
+    against the other, and on the other halves the least ratio of the shares above a score bounds it. Two
+    standard errors are taken off: too high a prior hides the negatives, too low a one only dims scores."""
     net = Network(positive.shape[1], 12, seed)
     p, u = positive[::2], unlabelled[::2]
     x = np.concatenate([p, u])
@@ -108,7 +109,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) ->
     qp, qu = 1 - np.searchsorted(sp, cuts) / len(sp), 1 - np.searchsorted(su, cuts) / len(su)
     slack = (np.log(40) / 2 / len(su)) ** 0.5 + (np.log(40) / 2 / len(sp)) ** 0.5
     at = np.argmin((qu + slack) / qp)
-    return float(np.clip(qu[at] / qp[at], 0.05, 0.98))
+    share = min(1.0, qu[at] / qp[at])
+    return float(np.clip(share - 2 * (share * (1 - share) / len(su)) ** 0.5, 0.05, 0.98))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, seed: int = 1) -> Network:
