@@ -160,31 +160,38 @@ def test_suffix_lm(docs, empty):
     assert suffix_lm.lm_scores(empty).count() == 0
 
 
-def test_suffix_tree_states():
-    counts = Counter({b"anan": 40, b"on": 30, b"": 10})
+@pytest.mark.parametrize("min_share", [0.0, 0.04])
+def test_suffix_tree_states(spark, min_share):
+    texts = ["anan on anan", "on on anan", "", "Anan nan", "on"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tree = suffix_lm.fit(suffix_lm.unit_counts(docs, 3), 4, min_share, 0.0, 0.5)
+    strings = [(u, suffix_lm.word_place(u)) for t in texts for u in suffix_lm.units_of(t.encode(), 3)]
+    assert [u for u, _ in strings[:4]] == [b"\nanan ", b"nan on ", b"on anan ", b"nan \n"]
     rows = {}
-    for w, c in counts.items():
-        s = b" " + w + b" " if w else b" \n"
-        for i in range(1, len(s)):
-            for k in range(0, min(3, i) + 1):
-                code = sum(s[i - j] << 8 * (j - 1) for j in range(1, k + 1))
-                rows.setdefault((k, code), Counter())[s[i]] += c
-    tree = suffix_lm.SuffixTree(sorted((k, c, sorted(x.items())) for (k, c), x in rows.items()), 3, 0.0, 2.0)
+    for s, at in strings:
+        for i in range(at, len(s)):
+            for k in range(0, min(4, i) + 1):
+                rows.setdefault(s[i - k : i], Counter())[s[i]] += 1
+    total = sum(rows[b""].values())
+    rows = {c: n for c, n in rows.items() if sum(n.values()) >= max(1, min_share * total)}
 
     def probability(context, symbol):
         p = 1 / 256
         for k in range(0, len(context) + 1):
-            code = sum(context[-j] << 8 * (j - 1) for j in range(1, k + 1))
-            if (k, code) in rows:
-                n = rows[k, code]
-                p = (n[symbol] + 2.0 * p) / (sum(n.values()) + 2.0)
+            n = rows.get(context[len(context) - k :])
+            if n is None:
+                break
+            p = (n[symbol] + 0.5 * len(n) * p) / (sum(n.values()) + 0.5 * len(n))
         return p
 
-    for w in (b"anan", b"nano", b"", b"zz"):
-        s = b" " + w + b" " if w else b" \n"
-        expected = sum(math.log10(probability(s[max(0, i - 3) : i], s[i])) for i in range(1, len(s)))
-        assert abs(tree.score([w])[0] - expected) < 1e-9
-    assert np.allclose((10**tree.log10).sum(axis=1), 1)
+    for s in (b"\nanan ", b"\n\n", b"non nano ", b"zz on ", b"nan zz ", "é \n".encode()):
+        at = suffix_lm.word_place(s)
+        expected = sum(math.log10(probability(s[max(0, i - 4) : i], s[i])) for i in range(at, len(s)))
+        assert abs(tree.score([s], [at])[0] - expected) < 1e-5
+    states = 10 ** tree.log10.astype(float)
+    assert np.allclose(states[:, :-1].sum(axis=1) + states[:, -1] * (257 - tree.trie.width), 1)
+    pruned = suffix_lm.fit(suffix_lm.unit_counts(docs, 3), 4, min_share, 1e9, 0.5)
+    assert len(pruned.log10) == 1 < len(tree.log10)
 
 
 def brute_fingerprint(t):
