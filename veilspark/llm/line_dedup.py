@@ -3,7 +3,8 @@
 One pass over the texts fills two filters: *once* holds the hashes of all line keys, *twice* those that
 arrived when *once* already held them. A second pass sends only lines that *twice* holds, as 16-byte
 digests with their document, through a shuffle that confirms repeats exactly and picks the smallest
-document of each. A third pass rewrites the texts.
+document of each; the most frequent lines go back to their suspects by broadcast, so none of them gathers
+its documents in one task. A third pass rewrites the texts.
 
 The filters grow with the input up to ``max_filter_mb``; beyond that more lines are suspected and
 shuffled, and the result stays the same.
@@ -26,6 +27,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BITS = 1 << 20
 #: Bits a document adds to a filter's size, and bits set for each hash.
 BITS_PER_DOC, PROBES = 512, 3
+#: Lines so frequent that fewer than so many can be; they meet their suspects without a shuffle.
+MOST_HOT = 2000
 #: Hashes that a task holds before it hands on what it has.
 FLUSH = 1 << 20
 
@@ -157,8 +160,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, max_filter_mb: int = 64
                 yield record(out, [keys[i] for i in hit], [ids[i] for i in hit])
 
     found = materialize(map_text(docs.select(F.col("doc_id").cast("long"), "text"), suspects, "key binary, doc_id long"), "line-suspects")
-    repeated = found.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    return found.join(repeated, "key").where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    repeated = found.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).where("first_doc < last_doc").drop("last_doc")
+    repeated = materialize(repeated, "line-repeats")
+    often = F.col("n") > found.count() / MOST_HOT
+    hot = F.broadcast(repeated.where(often).drop("n"))  # fewer than MOST_HOT rows, as each has over 1 / MOST_HOT of them all
+    drops = found.join(hot, "key").unionByName(found.join(hot, "key", "left_anti").join(repeated.where(~often).drop("n"), "key"))
+    return drops.where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def rewrite(docs: DataFrame, columns: list[str], min_chars: int = 10) -> DataFrame:
