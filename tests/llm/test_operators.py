@@ -160,6 +160,14 @@ def test_suffix_lm(docs, empty):
     assert suffix_lm.lm_scores(empty).count() == 0
 
 
+def test_suffix_lm_sees_the_word_before(spark):
+    pairs = ["anna bob", "otto dad", "anna dad", "otto bob"]
+    rows = [(i, pairs[i % 2]) for i in range(80)] + [(80 + i, t) for i, t in enumerate(pairs)]
+    out = suffix_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 80).where("held_out").collect()
+    score = {r.doc_id - 80: r.score for r in out}
+    assert score[0] + score[1] > score[2] + score[3] + 2
+
+
 @pytest.mark.parametrize("min_share", [0.0, 0.04])
 def test_suffix_tree_states(spark, min_share):
     texts = ["anan on anan", "on on anan", "", "Anan nan", "on"] * 3
