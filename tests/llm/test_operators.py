@@ -168,6 +168,31 @@ def test_suffix_lm_sees_the_word_before(spark):
     assert score[0] + score[1] > score[2] + score[3] + 2
 
 
+@pytest.mark.parametrize("head", [0, 1000])
+def test_suffix_lm_keeps_contexts_by_count(spark, docs, monkeypatch, head):
+    monkeypatch.setattr(suffix_lm, "HEAD_GRAMS", head)
+    monkeypatch.setattr(suffix_lm, "PART_GRAMS", 2000)
+    train = docs.where("doc_id % 3 <> 0")
+    for least, gain in ((1, 0.0), (2, 0.0), (5, 2.0)):
+        units = suffix_lm.unit_counts(train, 3).cache()
+        positions = units.selectExpr("sum((octet_length(unit) - at) * n)").first()[0]
+        tree = suffix_lm.fit(units, 7, least / positions, gain, 0.5)
+        expected = []
+        for i, t in TEXTS:
+            split = suffix_lm.units_of((t or "").encode(), 3)
+            expected.append((i, float(tree.score(split, [suffix_lm.word_place(u) for u in split]).sum())))
+        got = sorted((r.doc_id, r.score) for r in suffix_lm.lm_scores(docs, F.col("doc_id") % 3 != 0, 3, 7, least, gain, 0.5).collect())
+        assert all(i == j and abs(a - b) < 1e-4 * max(1, abs(b)) for (i, a), (j, b) in zip(got, sorted(expected), strict=True))
+
+
+def test_suffix_lm_grows_with_the_corpus(spark):
+    noise = random.Random(2)
+    filler = [" ".join("".join(noise.choice("abcdefgh") for _ in range(5)) for _ in range(1500)) for _ in range(140)]
+    rows = [(i, t) for i, t in enumerate(filler)] + [(1000 + i, "zyxq " * 2) for i in range(6)] + [(2000, "zyxq"), (2001, "zqyx")]
+    out = {r.doc_id: r.score for r in suffix_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 2000).collect()}
+    assert out[2000] > -2 > out[2001]  # "zyxq" is 12 in 210,000 words, less than 1e-5 of all positions
+
+
 @pytest.mark.parametrize("min_share", [0.0, 0.04])
 def test_suffix_tree_states(spark, min_share):
     texts = ["anan on anan", "on on anan", "", "Anan nan", "on"] * 3
