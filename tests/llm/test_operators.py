@@ -146,6 +146,12 @@ def test_license_scan(docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_scan_finds_all_of_many(spark):
+    rows = [(i, "some plain prose about nothing much") for i in range(200)] + [(1000, "\n\n".join(t.text for t in licenses.TEMPLATES))]
+    found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1000").first()
+    assert found.labels.split(",") == sorted({t.label for t in licenses.TEMPLATES})
+
+
 def test_suffix_lm(docs, empty):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     train = Counter(w for i, t in TEXTS if not held(i) for w in [*(t or "").encode().lower().split(), b""])

@@ -1,8 +1,8 @@
 """License scans with a positional index of rare tokens.
 
 Templates are short licence texts. A first pass counts in how many documents each of their words occurs,
-over all documents, and the rarer words, with their positions, form the index. For each file its
-highest-IDF licence words are looked up; each posting votes for one alignment of one template with the
+over all documents, and the rarer words, with their positions, form the index. For each file all
+its indexed words are looked up; each posting votes for one alignment of one template with the
 file; alignments that enough rare words agree on are compared word by word, and a label is given if the
 weight that agrees is large and the template's mandatory phrases stand in the file.
 """
@@ -75,8 +75,8 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[
 
 
 class RareTokenIndex:
-    def __init__(self, templates: list[Template], df: dict[bytes, int], total: int, min_idf: float, top: int):
-        self.templates, self.top = templates, top
+    def __init__(self, templates: list[Template], df: dict[bytes, int], total: int, min_idf: float):
+        self.templates = templates
         self.idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) for t in templates for w in t.words}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.rare_in: list[int] = []
@@ -97,9 +97,8 @@ class RareTokenIndex:
         for i, w in enumerate(words):
             if w in self.postings:
                 places[w].append(i)
-        best = sorted(places, key=lambda w: (-self.idf[w], w))[: self.top]
         votes: Counter = Counter()
-        for w in best:
+        for w in places:
             for n, at in self.postings[w]:
                 votes.update((n, p - at) for p in places[w])
         labels, score = set(), 0.0
@@ -127,18 +126,17 @@ def places_of(words: list[bytes], phrase: list[bytes]) -> list[int]:
             found.append(at - last)
 
 
-def license_scan(docs: DataFrame, templates: list[Template] | None = None, min_idf: float = 0.7, top: int = 16, min_share: float = 0.6) -> DataFrame:
+def license_scan(docs: DataFrame, templates: list[Template] | None = None, min_idf: float = 0.7, min_share: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
     Words are runs of letters, digits and non-ASCII characters after A-Z are lower-cased. Base places
     are counted all; labels are distinct, sorted, comma-joined, the method's added to the base ones.
-    ``min_idf``: words in more documents than that are not indexed; ``top``: a file's rarest licence
-    words that are looked up. Null and empty texts have no words, no labels and score 0; an empty table
+    ``min_idf``: words in more documents than that are not indexed. Null and empty texts have no words, no labels and score 0; an empty table
     gives no rows. Columns other than doc_id and text are not read.
     """
     templates = templates or TEMPLATES
     df, total = document_frequencies(docs, {w for t in templates for w in t.words})
-    index = RareTokenIndex(templates, df, total, min_idf, top)
+    index = RareTokenIndex(templates, df, total, min_idf)
     base = [(words_of(p.encode()), label) for p, label in BASE_PHRASES.items()]
     text, number = pa.string(), pa.int64()
     out = pa.schema([("doc_id", number), ("n_words", number), ("n_base", number), ("first_word", number), ("last_word", number), ("base_labels", text), ("labels", text), ("score", pa.float64())])
