@@ -69,6 +69,17 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_reject_text_without_common_words(spark):
+    rng = random.Random(3)
+    other = ["".join(rng.choice("aeinrstlo") for _ in range(6)) for _ in range(3000)]
+    own = lambda lang: " ".join(rng.choice(quality_rules.COMMON_WORDS[lang]) if rng.random() < 0.2 else rng.choice(other) for _ in range(200)) + "."
+    rows = [(i, own(lang), lang) for lang, k in (("en", 0), ("de", 1)) for i in range(k * 100, k * 100 + 100)]
+    rows += [(500, " ".join(rng.sample(other, 60)) + ".", "en"), (501, own("de"), "en"), (502, own("en"), "de")]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(out[i].kept or out[i].base_failed for i in (500, 501, 502))
+    assert all(out[i].kept for i in range(200))
+
+
 def test_js_distance(spark):
     p, q = [3, 0, 5], [1, 1, 2]
     a, b = np.array(p) / 8, np.array(q) / 4

@@ -3,7 +3,9 @@
 Each document becomes two small histograms: its characters by class, and its words by the common words
 of its language (with one class for all other words). The reference of a language pools the histograms
 of all its documents that pass the base rules. A document is kept if its Jensen-Shannon distance to the
-reference is small in both; histograms below a minimum length say too little and are not judged.
+reference is small in both; histograms below a minimum length say too little and are not judged. The
+word distance must be below that of a text without any common word, which follows from the reference,
+unless common words are so few there that their lack says nothing.
 
 Only built-in expressions: every text is read once, inside one projection, and only counts are written.
 """
@@ -31,6 +33,8 @@ CHAR_CLASSES = ["lower", "space", "upper", "digit", "stop", "symbol", "rest"]
 #: Largest distances (0 to 1) and least lengths for which they count.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.50
 MIN_CHARS, MIN_WORDS = 120, 40
+#: Part of the distance without common words that is too far, and the least such distance that counts.
+WORD_PART, MIN_BLANK = 0.9, 0.2
 
 
 def _vocabulary() -> list[str]:
@@ -135,5 +139,8 @@ def quality_rules(
     judged = measured.join(F.broadcast(references(measured)), "lang_ref", "left")  # five rows at most
     judged = judged.withColumn("char_distance", F.when(F.col("n_chars") >= min_chars, js_distance(F.col("chars"), F.col("ref_chars"))))
     judged = judged.withColumn("word_distance", F.when(F.col("n_words") >= min_words, js_distance(F.col("words"), F.col("ref_words"))))
+    none = F.concat(F.transform(F.slice("ref_words", 1, F.size("ref_words") - 1), lambda x: F.lit(0).cast("long")), F.array(F.lit(1).cast("long")))
+    blank = js_distance(none, F.col("ref_words"))
+    max_word_distance = F.when(blank >= MIN_BLANK, F.least(F.lit(max_word_distance), blank * WORD_PART)).otherwise(max_word_distance)
     near = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_distance", "word_distance")
