@@ -1,8 +1,9 @@
 """Secret scans with an incremental blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger knows which (blob,
-rule version) pairs have been scanned and what was found; a run scans each unseen blob once, by the
-rules whose version the ledger lacks for it, and joins the findings back to all paths.
+rule version) pairs have been scanned and what was found; a run asks it by hashes, scans each unseen blob
+once, by the rules whose version the ledger lacks for it, and joins the findings back to all paths. Texts
+are scanned where they lie: no shuffle carries them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+#: Most blobs that go to all executors at once, 60 bytes or so each.
+MAX_BROADCAST_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -65,32 +71,65 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(may, walked).otherwise(none)
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Findings of every path, and the new ledger.
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Findings of every path, and the ledger rows that this run adds.
 
     ``versions``: doc_id (the path's version) and text. ``ledger``: (blob, rule, spans) rows of earlier
     runs, or None. Returns (doc_id, blob, spans) with all findings of the rules' present versions, and
-    the ledger rows that this run adds: one for each (blob, rule version) it scanned, empty ones too.
-    Null texts count as empty. Repeated rows and equal texts share a blob, which is scanned once.
+    the ledger rows added: one for each (blob, rule version) scanned, empty ones too. Both are written
+    tables. Null texts count as empty. Repeated rows and equal texts share a blob, of which one row is
+    scanned (all its copies, if they share the doc_id too). An empty table has no paths and adds no
+    rows. Columns other than doc_id and text are not read.
+
+    The ledger is asked by hashes alone; texts are read again only if some blob is due, and scanned
+    where they lie: of the due blobs and of those that are not plain new ones the smaller set, if it has
+    ``max_broadcast_rows`` rows at most, goes to the texts. If neither has, texts meet their blobs in a
+    shuffle.
     """
     rules = rules or RULES
+    keys = [r.key for r in rules]
     text = F.coalesce(F.col("text"), F.lit(""))
-    paths = versions.select("doc_id", F.sha2(text.cast("binary"), 256).alias("blob"))
-    blobs = versions.select(text.alias("text"), F.sha2(text.cast("binary"), 256).alias("blob")).groupBy("blob").agg(F.first("text").alias("text"))
-    known = None
-    if ledger is not None:
-        known = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("done"), F.flatten(F.collect_list("spans")).alias("old"))
-        blobs = blobs.join(known.select("blob", "done"), "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-        todo = {r.key: ~F.array_contains("done", r.key) for r in rules}
+    blob = F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob")
+    paths = materialize(versions.select("doc_id", blob), "paths")
+    all_due = F.array(*map(F.lit, keys))
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    if ledger is None:
+        blobs = blobs.withColumn("due", all_due)
+    else:
+        known = ledger.where(F.col("rule").isin(keys)).select(F.unhex("blob").alias("blob"), "rule").groupBy("blob").agg(F.collect_set("rule").alias("done"))
+        blobs = blobs.join(known, "blob", "left").select("blob", "owner", "n", F.when(F.col("done").isNull(), all_due).otherwise(F.array_except(all_due, "done")).alias("due"))
+    blobs = materialize(blobs, "blobs")
+    due, plain = F.size("due") > 0, (F.col("n") == 1) & (F.size("due") == len(keys))
+    n_due, n_special = blobs.agg(F.count_if(due), F.count_if(~plain)).first()
+
+    texts = versions.select("doc_id", text.alias("text"), blob)
+    if n_due == 0:
+        texts = texts.where("false").withColumn("due", all_due)
+    elif min(n_due, n_special) > max_broadcast_rows:
+        chosen = blobs.where(due).select("blob", "owner", "due")
+        texts = texts.join(chosen, "blob").where(F.col("doc_id").eqNullSafe(F.col("owner")))
+    elif n_due <= n_special:
+        chosen = F.broadcast(blobs.where(due).select("blob", "owner", "due"))  # n_due rows, checked
+        texts = texts.join(chosen, "blob").where(F.col("doc_id").eqNullSafe(F.col("owner")))
     else:
-        todo = {r.key: F.lit(True) for r in rules}
-    scanned = blobs.select("blob", *(F.when(todo[r.key], spans(F.col("text"), r, i)).alias(r.key) for i, r in enumerate(rules)))
-    added = scanned.select("blob", F.explode(F.array(*(F.struct(F.lit(r.key).alias("rule"), F.col(f"`{r.key}`").alias("spans")) for r in rules))).alias("x")).select("blob", "x.rule", "x.spans").where("spans is not null")
-    found = scanned.select("blob", F.concat(*(F.coalesce(F.col(f"`{r.key}`"), F.array().cast(SPANS)) for r in rules)).alias("new"))
-    if known is not None:
-        found = found.join(known.select("blob", "old"), "blob", "left").select("blob", F.concat("new", F.coalesce("old", F.array().cast(SPANS))).alias("new"))
-    found = found.where(F.size("new") > 0).select("blob", F.sort_array("new").alias("spans"))
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), added
+        special = F.broadcast(blobs.where(~plain).select("blob", "owner", "due", F.lit(True).alias("special")))  # n_special rows, checked
+        mine = F.col("special").isNull() | ((F.size("due") > 0) & F.col("doc_id").eqNullSafe(F.col("owner")))
+        texts = texts.join(special, "blob", "left").where(mine).withColumn("due", F.coalesce("due", all_due))
+
+    # Written before anything filters on it, so that each pattern runs once over a text.
+    scanned = materialize(texts.select("blob", "due", *(F.when(F.array_contains("due", r.key), spans(F.col("text"), r, i)).alias(f"r{i}") for i, r in enumerate(rules))), "scanned")
+    each = F.array(*(F.struct(F.lit(r.key).alias("rule"), F.col(f"r{i}").alias("spans")) for i, r in enumerate(rules)))
+    added = scanned.select("blob", F.explode(F.filter(each, lambda x: x.spans.isNotNull())).alias("x"))
+    added = added.select(F.lower(F.hex("blob")).alias("blob"), "x.rule", "x.spans").dropDuplicates(["blob", "rule"])
+
+    none = F.array().cast(SPANS)
+    found = scanned.select("blob", F.concat(*(F.coalesce(f"r{i}", none) for i in range(len(rules)))).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["blob"])
+    if ledger is not None:
+        old = ledger.where(F.col("rule").isin(keys) & (F.size("spans") > 0)).select(F.unhex("blob").alias("blob"), "spans")
+        found = found.unionByName(old).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a row for each rule and blob
+    found = found.select("blob", F.sort_array("spans").alias("spans"))
+    joined = paths.join(found, "blob", "left").select("doc_id", F.lower(F.hex("blob")).alias("blob"), F.coalesce("spans", none).alias("spans"))
+    return joined, added
 
 
 def listed(spans_col: Column) -> Column:
