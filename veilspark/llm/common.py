@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; keeps a batch of ordinary documents to a few MB.
-BATCH_ROWS = 512
+#: Bytes in one Arrow batch, for all operators alike (a longer text is a batch of its own).
+BATCH_BYTES = "4m"
 
 _local_dirs: dict[str, str] = {}
 
@@ -54,9 +54,23 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, False)
 
 
+def without(docs: DataFrame, gone: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone`` (doc_id, each once); null ids stay. Up to
+    ``max_broadcast_rows`` ids go to all executors, so that the texts stay where they lie; more of them
+    meet the texts in a shuffle."""
+    gone = materialize(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= max_broadcast_rows else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES. One value for the whole session, whoever asks and whenever plans run."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -220,5 +220,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             run = order[np.searchsorted(key, batch.column(3).to_numpy() * (1 << 44) + rank, "right") - 1]
             yield record(out, *batch.columns[:5], sequence[run] + rank - first[run], offset[run])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

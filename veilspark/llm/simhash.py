@@ -152,8 +152,6 @@ def links(classes: DataFrame, max_bits: int = 4, bucket_rows: int = 512) -> Data
                 left, right = zip(*edges)
                 yield record(out, left, right)
 
-    session = banded.sparkSession
-    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return banded.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(run, "u long, v long").distinct()
 
 
