@@ -2,12 +2,15 @@
 
 Texts become a few shares and ratios (never labels, languages, sources or ids). A small network learns
 from trusted positives and unlabelled texts, minimising the non-negative unbiased risk; the class prior
-is estimated from how a first classifier ranks the two samples. Both samples are bounded and drawn by
-hash from all rows; every text is scored.
+is estimated from how a first classifier ranks the two. The positives are a bounded sample of the
+labelled rows; the unlabelled are all rows: each task trains on its own, and the networks are averaged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 from operator import eq
 
 import numpy as np
@@ -15,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, map_text, materialize, record, texts_of, values_of
+from .common import id_crc32, map_text, materialize, record, small_batches, texts_of, values_of
 
-#: Rows that training reads at most, of either kind.
-MAX_POSITIVES, MAX_UNLABELLED = 20_000, 20_000
+#: Labelled rows that train at most, and rows of features that a task holds at once.
+MAX_POSITIVES, CHUNK_ROWS = 20_000, 50_000
 #: Frequent function words of several languages.
 FUNCTION_WORDS = frozenset(
     b"the of and a to in is that it was for on with as are be de la le et les des en un une du est que qui der die und den von zu das mit nicht ein el y los se las por con no para".split()
@@ -69,11 +72,15 @@ def feature_table(docs: DataFrame) -> DataFrame:
 class Network:
     """One hidden layer; ``logit > 0`` speaks for the positive class."""
 
-    def __init__(self, width: int, hidden: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.p = [rng.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
+    def __init__(self, params: list[np.ndarray]):
+        self.p = [np.array(x, np.float64) for x in params]
         self.m, self.v, self.t = [np.zeros_like(x) for x in self.p], [np.zeros_like(x) for x in self.p], 0
 
+    @classmethod
+    def fresh(cls, width: int, hidden: int, seed: int) -> Network:
+        rng = np.random.default_rng(seed)
+        return cls([rng.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)])
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
 
@@ -93,85 +100,190 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
-    """The share of positives among the unlabelled: half of each sample trains a classifier of one
-    against the other, and on the other halves the least ratio of the shares above a score bounds it. Two
+def apart_slope(z: np.ndarray, n_positive: int) -> np.ndarray:
+    """Derivative of the logistic loss that tells the first ``n_positive`` rows from the rest, both halves
+    of equal weight."""
+    s = _sigmoid(z)
+    return np.concatenate([(s[:n_positive] - 1) / n_positive, s[n_positive:] / (len(z) - n_positive)]) / 2
+
+
+def risk_slope(z: np.ndarray, n_positive: int, prior: float) -> np.ndarray:
+    """Derivative of prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), logistic losses, by the logits of
+    the positives and then the unlabelled rows. Where the part that cannot be negative would be, the step
+    goes up on it instead."""
+    s, n_unlabelled = _sigmoid(z), len(z) - n_positive
+    as_negative = np.concatenate([-prior * s[:n_positive] / n_positive, s[n_positive:] / n_unlabelled])
+    if np.logaddexp(0, z[n_positive:]).mean() < prior * np.logaddexp(0, z[:n_positive]).mean():
+        return -as_negative
+    as_negative[:n_positive] += prior * (s[:n_positive] - 1) / n_positive
+    return as_negative
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("x")).flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _chunks(batches, scale) -> Iterator[np.ndarray]:
+    """The rows of a task, scaled, some CHUNK_ROWS at a time."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_rows(batch))
+            size += batch.num_rows
+            if size >= CHUNK_ROWS:
+                yield scale(np.concatenate(held))
+                held, size = [], 0
+    if held:
+        yield scale(np.concatenate(held))
+
+
+def train(table: DataFrame, positive: np.ndarray, scale: Scale, net: Network, slope: Callable[[np.ndarray, int], np.ndarray], rounds: int, steps: int = 75, rate: float = 0.02, batch: int = 2048) -> Network:
+    """The network after ``rounds`` of training on all rows of ``table``. In a round each task takes the
+    network, makes ``steps`` steps over each chunk of its rows, against the positives, and gives back
+    what it has; the driver's next network is their mean, weighted by rows."""
+    spark = table.sparkSession
+    for i in range(rounds):
+        held = spark.sparkContext.broadcast((positive, scale, net.p, rate if i < rounds * 2 // 3 else rate / 5))
+
+        def run(batches, held=held):
+            positive, scale, params, rate = held.value
+            for rows in _chunks(batches, scale):
+                own, rng = Network(params), np.random.default_rng(len(rows))
+                for _ in range(steps):
+                    p = positive if len(positive) <= batch else positive[rng.integers(len(positive), size=batch)]
+                    u = rows if len(rows) <= batch else rows[rng.integers(len(rows), size=batch)]
+                    x = np.concatenate([p, u])
+                    own.step(x, slope(own.logit(x), len(p)), rate)
+                yield pa.RecordBatch.from_arrays([pa.array([float(len(rows))]), pa.array([np.concatenate([q.ravel() for q in own.p]).tolist()])], ["n", "p"])
+
+        n, total = 0.0, 0.0
+        for r in table.select("x").mapInArrow(run, "n double, p array<double>").toLocalIterator():  # some kB a chunk, one after the other
+            n, total = n + r.n, total + r.n * np.array(r.p)
+        held.unpersist()
+        cuts = np.cumsum([q.size for q in net.p])[:-1]
+        net = Network([q.reshape(old.shape) for q, old in zip(np.split(total / n, cuts), net.p)])
+    return net
+
+
+def class_prior(table: DataFrame, positive: np.ndarray, scale: Scale, seed: int = 0) -> float:
+    """The share of positives among the unlabelled rows: a classifier of one against the other learns on
+    half of both, and on the other halves the least ratio of the shares above a score bounds it. Two
     standard errors are taken off: too high a prior hides the negatives, too low a one only dims scores."""
-    net = Network(positive.shape[1], 12, seed)
-    p, u = positive[::2], unlabelled[::2]
-    x = np.concatenate([p, u])
-    target = np.concatenate([np.ones(len(p)), np.zeros(len(u))])
-    weight = np.concatenate([np.full(len(p), 0.5 / len(p)), np.full(len(u), 0.5 / len(u))])
-    for _ in range(200):
-        net.step(x, (_sigmoid(net.logit(x)) - target) * weight, 0.02)
-    sp, su = np.sort(net.logit(positive[1::2])), np.sort(net.logit(unlabelled[1::2]))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    net = train(table.where(half == 0), positive[::2], scale, Network.fresh(positive.shape[1], 12, seed), apart_slope, 4)
+    sp = np.sort(net.logit(positive[1::2]))
     cuts = np.quantile(sp, np.linspace(0.0, 0.9, 91))
-    qp, qu = 1 - np.searchsorted(sp, cuts) / len(sp), 1 - np.searchsorted(su, cuts) / len(su)
-    slack = (np.log(40) / 2 / len(su)) ** 0.5 + (np.log(40) / 2 / len(sp)) ** 0.5
+    params = net.p
+
+    def run(batches):
+        above, n = np.zeros(len(cuts)), 0
+        for rows in _chunks(batches, scale):
+            su = np.sort(Network(params).logit(rows))
+            above += len(su) - np.searchsorted(su, cuts)
+            n += len(su)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts) + 1)), pa.array([*above, float(n)])], ["cut", "n"])
+
+    counted = dict(table.where(half == 1).select("x").mapInArrow(run, "cut long, n double").groupBy("cut").agg(F.sum("n")).collect())  # 92 rows
+    n_u = counted[len(cuts)]
+    if not n_u:
+        return 0.5
+    qp, qu = 1 - np.searchsorted(sp, cuts) / len(sp), np.array([counted[i] for i in range(len(cuts))]) / n_u
+    slack = (np.log(40) / 2 / n_u) ** 0.5 + (np.log(40) / 2 / len(sp)) ** 0.5
     at = np.argmin((qu + slack) / qp)
     share = min(1.0, qu[at] / qp[at])
-    return float(np.clip(share - 2 * (share * (1 - share) / len(su)) ** 0.5, 0.05, 0.98))
+    return float(np.clip(share - 2 * (share * (1 - share) / n_u) ** 0.5, 0.05, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, seed: int = 1) -> Network:
-    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), with the logistic loss. Where the part
-    that cannot be negative would be, the step goes up on it instead."""
-    net = Network(positive.shape[1], 16, seed)
-    x = np.concatenate([positive, unlabelled])
-    np_, nu = len(positive), len(unlabelled)
-    for i in range(rounds):
-        z = net.logit(x)
-        s = _sigmoid(z)
-        negative_risk = np.logaddexp(0, z[np_:]).mean() - prior * np.logaddexp(0, z[:np_]).mean()
-        as_negative = np.concatenate([-prior * s[:np_] / np_, s[np_:] / nu])
-        if negative_risk >= 0:
-            as_negative[:np_] += prior * (s[:np_] - 1) / np_
-            slope = as_negative
-        else:
-            slope = -as_negative
-        net.step(x, slope, 0.02 if i < rounds * 2 // 3 else 0.004)
-    return net
+@dataclass(frozen=True)
+class Scale:
+    """Features to numbers of like spread."""
 
+    mean: np.ndarray
+    spread: np.ndarray
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row.
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x.astype(np.float64) - self.mean) / self.spread, -8, 8)
 
-    ``labels``: doc_id and quality; positives are those all of whose labels are 1. Rows whose crc32 of
-    the id mod 5 is 0 are held out: nothing is learned from them. At most ``max_positives`` and
-    ``max_unlabelled`` rows, those of the smallest hashes, train. Null and empty texts have the zero
-    features and a score like any other. Without positives or texts to learn from the score is 0.5.
-    Null labels are ignored; repeated rows get equal scores. Columns other than doc_id and text are not
-    read.
-    """
-    spark = docs.sparkSession
-    table = feature_table(docs)
+    @classmethod
+    def of(cls, table: DataFrame) -> tuple[Scale, int]:
+        """The scale of all rows, and their number."""
+
+        def run(batches):
+            sums = np.zeros(2 * N_FEATURES + 1)
+            for batch in batches:
+                if batch.num_rows:
+                    x = _rows(batch).astype(np.float64)
+                    sums += np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["i", "s"])
+
+        got = dict(table.select("x").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s")).collect())  # a row a feature and moment
+        sums = np.array([got.get(i, 0.0) for i in range(2 * N_FEATURES + 1)])
+        n = max(1.0, sums[-1])
+        mean = sums[:N_FEATURES] / n
+        return cls(mean, np.sqrt(np.maximum(sums[N_FEATURES:-1] / n - mean**2, 0)) + 1e-3), int(sums[-1])
+
+
+@dataclass(frozen=True)
+class Model:
+    """What scores texts; without ``params`` every score is 0.5."""
+
+    scale: Scale | None
+    params: list[np.ndarray] | None
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return _sigmoid(Network(self.params).logit(self.scale(x))) if self.params is not None and len(x) else np.full(len(x), 0.5)
+
+
+def fit_features(table: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES) -> Model:
+    """The model that a feature table's rows outside fold 0 give."""
     rest = table.where("fold <> 0")
     trusted = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1")
+    drawn = rest.join(trusted, "doc_id", "left_semi").select("doc_id", "x").orderBy(F.xxhash64("doc_id"), "x").limit(max_positives)
+    positive = np.array([r.x for r in drawn.toLocalIterator()], np.float64).reshape(-1, N_FEATURES)
+    scale, n = Scale.of(rest)
+    if len(positive) < 4 or n < 4:
+        return Model(None, None)
+    positive = scale(positive)
+    prior = class_prior(rest, positive, scale)
+    return Model(scale, train(rest, positive, scale, Network.fresh(N_FEATURES, 16, 1), partial(risk_slope, prior=prior), 8).p)
 
-    def drawn(df: DataFrame, most: int) -> np.ndarray:
-        found = df.select("doc_id", "x").orderBy(F.xxhash64("doc_id"), "x").limit(most)
-        return np.array([r.x for r in found.toLocalIterator()], np.float64).reshape(-1, N_FEATURES)
-
-    positive, unlabelled = drawn(rest.join(trusted, "doc_id", "left_semi"), max_positives), drawn(rest, max_unlabelled)
-    model = None
-    if len(positive) >= 4 and len(unlabelled) >= 4:
-        mean, spread = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-        scale = lambda a: np.clip((a - mean) / spread, -8, 8)
-        p, u = scale(positive), scale(unlabelled)
-        net = train(p, u, class_prior(p, u))
-        model = (mean, spread, net.p)
-    held = spark.sparkContext.broadcast(model)
+
+def fit(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES) -> Model:
+    """A model learned from all documents but those held out (``quality_scores`` says which)."""
+    return fit_features(feature_table(docs), labels, max_positives)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows whose text scores ``threshold`` or more, as they are. Texts stay in their tasks: one pass,
+    no shuffle, and only the text column meets Python."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        raw = [t.encode() if t else b"" for t in texts.to_pylist()]
+        return pa.array(held.value.score(np.array([features(t) for t in raw], np.float32).reshape(-1, N_FEATURES)))
+
+    small_batches(docs.sparkSession)
+    return docs.where(score("text") >= threshold)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_positives: int = MAX_POSITIVES) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row.
+
+    ``labels``: doc_id and quality; positives are those all of whose labels are 1, and at most
+    ``max_positives`` of them, those of the smallest hashes, train. Unlabelled are all rows, in every
+    round. Rows whose crc32 of the id mod 5 is 0 are held out: nothing is learned from them. Null and
+    empty texts have the zero features and a score like any other. With fewer than 4 positives or texts
+    to learn from the score is 0.5; an empty table gives no rows. Null labels are ignored; repeated rows
+    get equal scores. Columns other than doc_id and text are not read.
+    """
+    table = feature_table(docs)
+    held = docs.sparkSession.sparkContext.broadcast(fit_features(table, labels, max_positives))
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            score = np.full(n, 0.5)
-            if held.value is not None and n:
-                mean, spread, p = held.value
-                x = np.clip((batch.column(2).flatten().to_numpy().reshape(n, -1).astype(np.float64) - mean) / spread, -8, 8)
-                score = _sigmoid(np.tanh(x @ p[0] + p[1]) @ p[2] + p[3])
+            score = held.value.score(_rows(batch)) if batch.num_rows else np.empty(0)
             yield record(out, batch.column(0), batch.column(1).to_numpy(zero_copy_only=False) == 0, score, (score >= threshold).astype(np.int32))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return table.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
