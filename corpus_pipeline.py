@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import decontam, line_dedup, packing, pu_quality, simhash
-from veilspark.llm.common import materialize
+from veilspark.llm.common import materialize, without
 from veilspark.llm.queries import default_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    scores = pu_quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scores.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that the quality classifier accepts. Each row is scored by its own text and filtered where
+    it lies, so null and repeated ids need no care; null and empty texts are scored like any other. An
+    empty table stays empty; without labels to learn from every score is 0.5 and all documents stay."""
+    model = pu_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return pu_quality.accepted(docs.select(COLUMNS), model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +32,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id."""
+    """Of each group of near duplicates, the document with the smallest doc_id. Documents without an id stay."""
     found = simhash.near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return without(docs.select(COLUMNS), gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark contamination."""
+    """Documents without benchmark contamination. Rows that share an id go if one of them is contaminated;
+    documents without an id stay."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    return without(docs.select(COLUMNS), found.where("contaminated").select("doc_id").distinct())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
