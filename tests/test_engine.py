@@ -96,7 +96,7 @@ def test_whole_run(spark):
     assert kept["PERSON", "Rajesh Kumar Sharma"].surrogate.endswith(kept["PERSON", "Sharma"].surrogate)
     text = result.pages.first().text
     assert "Sharma" not in text and "411 001" not in text and "the Board." in text and text.startswith("Mr. ")
-    assert result.leaks.count() == 0 and result.summary().first().ok
+    assert result.leaks.count() == 0 and result.summary().first().verify == "ok"
 
 
 def test_judge_rules(spark):
@@ -155,15 +155,110 @@ def test_scoring(spark):
     assert evaluate.coverage("call Rastogi/Abhijit at www.nuvama.com now".split(), ["Abhijit", "uvama"]) == [False, True, False, False, False]
 
 
-def test_geometry_and_chunks():
-    line = lambda i, t: {"line": i, "text": t, "x0": 0.0, "x1": 5.0, "y0": 10.0 * i, "y1": 10.0 * i + 9}
-    assert [x["text"] for x in geometry.collapse([line(0, "Pro"), *(line(i + 1, c) for i, c in enumerate("moter")), line(6, "two words")])] == ["Promoter", "two words"]
+def stacked_words(spark, rows, doc="d"):
+    """Words of one page; a row is (text, block, line, x0, y0) or, for a line below the last at its left, a text."""
+    out = []
+    for i, r in enumerate(rows):
+        text, block, line, x0, y0 = r if isinstance(r, tuple) else (r, i, 0, 0.0, 10.0 * i)
+        out.append((doc, 1, i, text, "pdf", block, line, None, x0, y0, x0 + 5.0, y0 + 9.0))
+    return spark.createDataFrame(out, "doc_id string, page_no int, word_id int, text string, source string, block int, line int, para int, x0 double, y0 double, x1 double, y1 double")
+
+
+@pytest.mark.parametrize(
+    ("rows", "view"),
+    [
+        (["Pro", *"moter", ("two", 6, 0, 0.0, 60.0), ("words", 6, 0, 9.0, 60.0)], "Promoter\ntwo words"),
+        (["a", "b", "end"], "a\nb\nend"),
+        (["a", "b", "c", "end", "next"], "abcend\nnext"),
+        (["x", "a", "b", ("c", 3, 0, 90.0, 30.0)], "xab\nc"),
+        (["Non-", "Institutional"], "Non-Institutional"),
+        (["cs.connect@ksh.co", "m"], "cs.connect@ksh.com"),
+        (["cs@x.com", "Telephone:"], "cs@x.com\nTelephone:"),
+        (["cs@x.co", "a"], "cs@x.co\na"),
+        ([("one", 0, 0, 0.0, 0.0), ("two", 0, 0, 9.0, 0.0), ("three", 0, 1, 0.0, 30.0)], "one two three"),
+    ],
+)
+def test_layout_views(spark, rows, view):
+    assert geometry.layout_views(stacked_words(spark, rows)).first().text == view
+
+
+def test_lines_glue_fragments(spark):
+    words = stacked_words(spark, [("Ra", 0, 0, 0.0, 0.0), ("vi", 0, 0, 5.0, 0.0), ("now", 0, 1, 9.0, 0.0)]).withColumn("para", F.lit(0))
+    assert [(r.text, r.n_tokens) for r in geometry.lines(words).orderBy("line_no").collect()] == [("Ravi", 1), ("now", 1)]
+
+
+def test_geometry_and_chunks(spark):
     assert geometry.first_images([(0, 0, 10, 10), (0, 0, 10, 9.5), (20, 0, 30, 10)]) == [0, 2]
-    assert geometry.wrapped("pre-", "fix") and geometry.wrapped("a@b.co", "m") and not geometry.wrapped("a@b.com", "Telephone:")
-    text = "One. " * 100
-    parts = views.chunks(text, 100, 20)
-    assert parts[0][0] == 0 and parts[-1][0] + len(parts[-1][1]) == len(text) and all(text[a : a + len(c)] == c for a, c in parts)
-    assert finders.locate("aaa", "aa") == [(0, 2), (1, 3)] and finders.locate("a b c", "abc") == [(0, 5)]
+    texts = ["One. " * 100, "line\n" * 70, "x" * 350, "", "short", "é. ü\n" * 99, "a" * 70 + ". " + "b" * 200]
+    for text, r in zip(texts, spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(views.chunks(F.col("t"), 100, 20).alias("c")).collect()):
+        assert all(text[p.start : p.start + len(p.text)] == p.text and len(p.text) <= 100 for p in r.c)
+        at = 0
+        for n, p in enumerate(r.c):
+            assert p.start == at
+            end = min(at + 100, len(text))
+            cuts = [i + 1 for i in range(at + 66, end) if text[i] == "\n" or (text[i : i + 2] == ". " and i + 2 <= end)]
+            if end < len(text) and cuts:
+                end = max(cuts)
+            assert p.start + len(p.text) == end and (end < len(text)) == (n + 1 < len(r.c))
+            at = max(end - 20, at + 1)
+        assert bool(r.c) == bool(text)
+    assert finders.locate("aaa", "aa") == [(0, 2), (1, 3)] and finders.locate("a b c", "abc") == [(0, 5)] and finders.locate("a b", " ") == []
+    text = "Promoter: K U S H A L\nS U B B A Y Y A HEGDE, Pune"
+    assert finders.locate(text, "KUSHAL SUBBAYYA HEGDE") == [(10, 43)] and finders.locate(text, "nowhere") == []
+
+
+def test_coverage_and_documents_apart(spark):
+    tokens = "Contact Kushal Hegde at cs@x.com from Acme Private Limited and SEBI or www.acme.com".split()
+    truth, found = ["Kushal Hegde", "cs@x.com", "Acme Private Limited"], ["KUSHAL  HEGDE", "cs@x.com", "Acme", "SEBI"]
+    a, b = evaluate.coverage(tokens, found), evaluate.coverage(tokens, truth)
+    assert (sum(x == y for x, y in zip(a, b)), len(tokens)) == (10, 13)
+    assert evaluate.coverage("aa aa aa".split(), ["aa", "aa"]) == [True, True, False]
+    rows = spark.createDataFrame([("d1", 1, "Acme", "ORG"), ("d2", 1, "Acme", "ORG")], "doc_id string, page int, text string, type string")
+    left, right = evaluate.numbered(rows), evaluate.numbered(rows.where("doc_id = 'd2'"))
+    assert evaluate.match(left, right).count() == 1
+    got = {r.type: (r.tp, r.fp, r.fn) for r in evaluate.scores(left, right, evaluate.match(left, right)).collect()}
+    assert got[None] == (1, 1, 0)
+    pages = spark.createDataFrame([("d1", 1, "Acme is in the town"), ("d2", 1, "Acme is in the town"), ("d2", 5, "12")], "doc_id string, page int, text string")
+    accuracy = {(r.doc_id, r.page): (r.correct, r.total, r.skipped) for r in evaluate.token_accuracy(pages, left, right).collect()}
+    assert accuracy == {("d1", 1): (4, 5, False), ("d2", 1): (5, 5, False), ("d2", 5): (0, 0, True)}
+
+
+def test_propagation_gate(spark):
+    text = ["Our Promoter is Mr. Kushal Subbayya Hegde. The Broad Family Trust holds 10% of shares.", "Mr. Hegde has a broad range of experience. Broad Family Trust and Mr. Broad agree. HEGDE was appointed in 2019. Lane was"]
+    v = pages(spark, *text)
+    seeds = [("Mr. Kushal Subbayya Hegde", "PERSON"), ("Broad Family Trust", "ORG"), ("Daniel Lane", "PERSON")]
+    rows = [(1, 1, text[0].find(t), text[0].find(t) + len(t), t, k, i) for i, (t, k) in enumerate(seeds)]
+    spans = spark.createDataFrame(rows, "doc_id long, page_no int, start int, end int, text string, type string, seq long")
+    spans = spans.join(v.select("page_no", F.col("text").alias("view")), "page_no").select("doc_id", "page_no", "start", "end", "text", "type", F.array(F.lit("gliner")).alias("finders"), F.lit(0.9).alias("confidence"), *finders.span_columns(F.col("view")), "seq")
+    got = {(r.page_no, r.type, r.text, r.confidence) for r in finders.propagate(v, spans, settings=Settings(common_words=("broad", "lane"))).collect()}
+    assert {(2, "PERSON", "Hegde", 0.9), (2, "PERSON", "HEGDE", 0.9), (2, "ORG", "Broad Family Trust", 0.9), (2, "ORG", "Broad", 0.6)} <= got
+    assert not [x for x in got if x[2] in ("broad", "Lane") or x[0] == 1]
+
+
+def test_llm_finder(spark):
+    v = pages(spark, "Ask R a v i Rao or Acme. Acme!", "no name", "broken")
+
+    def load():
+        def ask(system, text):
+            if text == "broken":
+                raise RuntimeError("down")
+            return 'Sure: ```json {"items": [{"type": "person", "text": "Ravi Rao"}, {"type": "ORG", "text": "Acme"}, {"type": "FISH", "text": "Ask"}, {"type": "ORG", "text": "Nobody Here"}]} ```'
+
+        return ask
+
+    spans, events = finders.find_with_llm(v, load)
+    assert {(r.page_no, r.start, r.end, r.type, r.confidence) for r in spans.collect()} == {(1, 4, 15, "PERSON", 0.8), (1, 19, 23, "ORG", 0.8), (1, 25, 29, "ORG", 0.8)}
+    told = {(r.page_no, r.event, r.detail) for r in events.collect()}
+    assert {(3, "failed", "down"), (1, "unlocated", "Nobody Here"), (2, "unlocated", "Acme")} <= told
+    result = engine.run(None, views=v, models=[lambda x: finders.find_with_llm(x, load)])
+    assert {r.stage for r in rewrite.audit_rows(result.judged, result.events, "r").collect()} == {"judge", "llm_failed", "llm_unlocated"}
+    s = result.summary().first()
+    assert (s.pages, s.failed, s.verify, s.spans, s.review_items) == (3, 1, "ok", 1, 2)
+
+
+def test_ip_without_digits(spark):
+    spans, _ = finders.find_regex(pages(spark, "at dead:beef:cafe:face:feed:babe:fade:deaf now"), types=["IP"])
+    assert [r.text for r in spans.collect()] == ["dead:beef:cafe:face:feed:babe:fade:deaf"]
 
 
 def test_docx_round_trip(tmp_path, spark):

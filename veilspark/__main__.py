@@ -1,10 +1,13 @@
-"""python -m veilspark INPUT OUTPUT [--pages 1-6] [--legend none|surrogates|full]"""
+"""python -m veilspark INPUT OUTPUT [--pages 1-6] [--legend none|surrogates|full] [--common-words FILE]
+
+Exit code 1: some document still holds a real value, and its pages were not written."""
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
-from .config import Settings
+from .config import Settings, words_in
 from .plans.engine import run, write
 
 if __name__ == "__main__":
@@ -13,8 +16,11 @@ if __name__ == "__main__":
     args.add_argument("output")
     args.add_argument("--pages")
     args.add_argument("--legend", choices=["none", "surrogates", "full"], default="none")
+    args.add_argument("--common-words", help="text file of everyday words that are names too")
     given = args.parse_args()
     spark = SparkSession.builder.appName("veilspark").getOrCreate()
-    result = run(spark.read.parquet(given.input), Settings(legend=given.legend), pages=given.pages)
-    write(result, given.output, given.legend)
-    result.summary().show()
+    settings = Settings(legend=given.legend)
+    if given.common_words:
+        settings = Settings(legend=given.legend, common_words=words_in(given.common_words))
+    result = run(spark.read.parquet(given.input), settings, pages=given.pages)
+    sys.exit(not write(result, given.output, given.legend))

@@ -21,6 +21,7 @@ class PiiType:
     single_token_needs_context: bool = False
     ner_labels: tuple[str, ...] = ()
     policy: str = "redact"
+    hint: str = ""  # what a language model is told of the type
     enabled: bool = True
 
 
@@ -94,7 +95,8 @@ ORG_FORMS = (
     "family", "trust", "limited", "ltd", "private", "pvt", "llp", "inc", "company", "co", "group", "holdings", "industries", "international", "enterprises",
     "corporation", "corp", "foundation", "bank", "and", "&", "sons", "brothers", "associates", "partners", "ventures",
 )
-#: Names that are also everyday words: a lone one counts only next to other evidence. A parameter.
+#: Names that are also everyday words: a lone one counts only next to other evidence. A short list of this
+#: library's own; ``Settings.common_words`` takes any other, of any length (``words_in`` reads one).
 COMMON_NAME_WORDS = ("broad", "everest", "may", "rose", "will", "mark", "grace", "hope", "young", "long", "short", "best", "rich", "wise", "park", "hill", "stone", "summer", "winter", "sun")
 FINDER_RANK = {"regex": 0, "gliner": 1, "llm": 2, "propagate": 3}
 #: Validators that see the candidate without white space.
@@ -104,6 +106,12 @@ SHAPE_TYPES = ("PHONE", "PAN", "AADHAAR", "CREDIT_CARD", "DIN", "SSN", "GSTIN",
 ID_PREFIX = {"PERSON": "P", "ADDRESS": "ADDR"}
 
 
+def words_in(path: str) -> tuple[str, ...]:
+    """The words of a text file, lower-cased."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(dict.fromkeys(f.read().lower().split()))
+
+
 @dataclass(frozen=True)
 class Settings:
     types: tuple[PiiType, ...] = TYPES
@@ -119,6 +127,7 @@ class Settings:
     paragraphs_per_page: int = 50
     #: Give entities without a letter or digit that keys keep a surrogate all the same.
     redact_empty_keys: bool = True
+    common_words: tuple[str, ...] = COMMON_NAME_WORDS
 
     def enabled(self) -> list[PiiType]:
         return [t for t in self.types if t.enabled]

@@ -79,6 +79,13 @@ def mapping(entities: DataFrame) -> DataFrame:
     return entities.select("doc_id", "entity_id", "type", F.col("canonical").alias("real"), "surrogate", "mention_count", "pages")
 
 
+def nested_mapping(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``mapping`` with each entity's mentions, in order, for a JSON file."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col("page_no").alias("page"), "start", "text", "surrogate")))
+    each = mentions.groupBy("doc_id", "entity_id").agg(F.transform(listed, lambda m: F.struct(m.page.alias("page"), m.text.alias("text"), m.surrogate.alias("surrogate"))).alias("mentions"))
+    return mapping(entities).join(each, ["doc_id", "entity_id"], "left")
+
+
 def legend(entities: DataFrame, mode: str) -> DataFrame:
     """Rows of the table appended to a document: none, surrogates only, or also the real values."""
     chosen = entities.select("doc_id", "entity_id", "type", "surrogate", *([F.col("canonical").alias("real")] if mode == "full" else []))
@@ -89,20 +96,29 @@ def mentions_by_page(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy(PAGE).agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_id", "type", "surrogate"))).alias("mentions"))
 
 
+def reading_order(spans: DataFrame) -> DataFrame:
+    """Spans by document, page and first word, the longer first: the order of files."""
+    return spans.orderBy("doc_id", "page_no", "w0", F.desc("w1"), "type")
+
+
 def span_rows(mentions: DataFrame) -> DataFrame:
     """The columns of a spans file."""
-    return mentions.select(F.col("page_no").alias("page"), "text", "type", "entity_id", F.array_join("finders", "+").alias("finder"), F.round("confidence", 2).alias("confidence"), "surrogate")
+    return reading_order(mentions).select("doc_id", F.col("page_no").alias("page"), "text", "type", "entity_id", F.array_join("finders", "+").alias("finder"), F.round("confidence", 2).alias("confidence"), "surrogate")
 
 
 def review_rows(judged: DataFrame) -> DataFrame:
     """The columns of a review file, for a person to label."""
-    return judged.where("decision = 'review'").select(F.col("page_no").alias("page"), "text", "type", F.array_join("finders", "+").alias("finder"), "confidence", F.lit("").alias("human_label"))
+    return reading_order(judged.where("decision = 'review'")).select("doc_id", F.col("page_no").alias("page"), "text", "type", F.array_join("finders", "+").alias("finder"), "confidence", F.lit("").alias("human_label"))
 
 
-def audit_rows(judged: DataFrame, run_id: str) -> DataFrame:
-    """One record for each judged span."""
+def audit_rows(judged: DataFrame, events: DataFrame | None, run_id: str) -> DataFrame:
+    """One record for each judged span, and for each event of a finder."""
     evidence = F.to_json(F.struct("text", "type", "confidence", "finders"))
-    return judged.select(F.current_timestamp().alias("ts"), F.lit(run_id).alias("run_id"), "doc_id", "page_no", F.lit("judge").alias("stage"), F.col("reason").alias("backend"), "confidence", evidence.alias("evidence"))
+    rows = judged.select("doc_id", "page_no", F.lit("judge").alias("stage"), F.col("reason").alias("backend"), "confidence", evidence.alias("evidence"))
+    if events is not None:
+        told = F.to_json(F.struct("type", "detail"))
+        rows = rows.unionByName(events.select("doc_id", "page_no", F.concat_ws("_", "stage", "event").alias("stage"), F.col("stage").alias("backend"), F.lit(None).cast("double").alias("confidence"), told.alias("evidence")))
+    return rows.select(F.current_timestamp().alias("ts"), F.lit(run_id).alias("run_id"), "*")
 
 
 def split_over_lines(surrogate: str, lengths: list[int]) -> list[str]:

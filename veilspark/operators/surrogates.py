@@ -180,9 +180,23 @@ def entity_surrogate(type_: Column, text: Column, digest: Column) -> Column:
     return out
 
 
+#: Draws for a fake of about the real one's length, and how far lengths may differ.
+LENGTH_DRAWS, LENGTH_SLACK = 20, 0.2
+
+
+def length_match(real: Column, drafts: Column) -> Column:
+    """The first draft within a fifth of the real value's length, else the nearest in length, the earlier
+    on ties."""
+    far = lambda d: F.abs(F.length(d) - F.length(real))
+    near = F.filter(drafts, lambda d: far(d) <= F.length(real) * LENGTH_SLACK)
+    ranked = F.transform(drafts, lambda d, i: F.struct(far(d).alias("far"), i.alias("i"), d.alias("d")))
+    return F.coalesce(F.get(near, 0), F.array_min(ranked).d)
+
+
 def _token_fake(salt: str, token: Column, last: Column) -> Column:
     digest = hmac_hex(salt, F.concat(F.lit("PERSON|token|"), token))
-    return F.when(last, pick(LAST_NAMES, digest, 0)).otherwise(pick(FIRST_NAMES, digest, 0))
+    drawn = lambda names: F.transform(F.sequence(F.lit(0), F.lit(LENGTH_DRAWS - 1)), lambda i: pick(names, F.sha2(F.concat(digest, i.cast("string")).cast("binary"), 256), 0))
+    return length_match(token, F.when(last, drawn(LAST_NAMES)).otherwise(drawn(FIRST_NAMES)))
 
 
 def name_dictionary(entities: DataFrame, salt: str) -> DataFrame:

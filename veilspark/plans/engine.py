@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..operators import finders, rewrite
 from ..operators import judge as jdg
 from ..operators import merge as mrg
 from ..operators import surrogates as sur
-from ..operators.views import only_pages, page_views
+from ..operators.views import model_pages, only_pages, page_views
 from .tables import written
 
 
@@ -29,32 +30,46 @@ class Run:
     mentions: DataFrame
     pages: DataFrame
     leaks: DataFrame
+    events: DataFrame | None = None
+    signals: DataFrame | None = None
 
     def summary(self) -> DataFrame:
-        """One row: pages, spans, entities, review items, leaks."""
-        counts = [
-            self.views.agg(F.count("*").alias("pages")), self.mentions.agg(F.count("*").alias("spans")), self.entities.agg(F.count("*").alias("entities")),
-            self.judged.where("decision = 'review'").agg(F.count("*").alias("review_items")), self.leaks.agg(F.count("*").alias("leaks")),
-        ]
-        out = counts[0]
-        for c in counts[1:]:
-            out = out.join(c)  # one row each
-        return out.withColumn("ok", F.col("leaks") == 0)
+        """A row for each document with pages: what was found, and whether nothing leaks. With signals also
+        the hard pages and those that went to a model."""
+        tables = {"pages": self.views, "spans": self.mentions, "entities": self.entities, "review_items": self.judged.where("decision = 'review'"), "leaks": self.leaks}
+        if self.events is not None:
+            tables |= {e: self.events.where(F.col("event") == e) for e in ("failed", "unlocated")}
+        if self.signals is not None:
+            tables |= {"hard_pages": self.signals.where("hard"), "model_pages": self.signals.where("to_model")}
+        parts = [t.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("what", F.lit(k)) for k, t in tables.items()]
+        counts = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(*(F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k) for k in tables))
+        return counts.withColumn("verify", F.when(F.col("leaks") == 0, "ok").otherwise("verify_failed"))
 
 
-def run(docs: DataFrame, settings: Settings | None = None, models: Sequence[finders.Finder] = (), pages: str | None = None, views: DataFrame | None = None, addresses: bool = True, propagate: bool = True) -> Run:
-    """``docs``: doc_id and text. ``models``: further finders, functions from views to spans. Only the pages
-    in ``pages`` ("1-6,128") are read. All shuffles are on doc_id or (doc_id, page_no)."""
+def run(
+    docs: DataFrame, settings: Settings | None = None, models: Sequence[finders.Finder] = (), pages: str | None = None, views: DataFrame | None = None, addresses: bool = True, propagate: bool = True,
+    signals: DataFrame | None = None,
+) -> Run:
+    """``docs``: doc_id and text. ``models``: further finders, functions from views to spans (and events). Only
+    the pages in ``pages`` ("1-6,128") are read. ``signals``: routing signals of pages; with them, models
+    get only the pages that ``model_pages`` picks. All shuffles are on doc_id or (doc_id, page_no)."""
     s = settings or Settings()
     views = page_views(docs, s) if views is None else views
     views = written(only_pages(views, pages) if pages else views, "views")
     hits = written(finders.regex_candidates(views, s), "hits")
     found, parked = finders.split_parked(hits, s)
-    others = ([finders.find_addresses(views, s)] if addresses else []) + [m(views) for m in models]
+    routed = views
+    if signals is not None:
+        chosen = model_pages(signals, s.easy_page_sample).select("doc_id", "page_no", F.lit(True).alias("to_model"))
+        signals = written(signals.join(chosen, ["doc_id", "page_no"], "left").withColumn("to_model", F.coalesce("to_model", F.lit(False))), "signals")
+        routed = views.join(signals.where("to_model"), ["doc_id", "page_no"], "left_semi")
+    told = [x if isinstance(x, tuple) else (x, None) for x in (m(routed) for m in models)]
+    events = [e for _, e in told if e is not None]
+    others = ([finders.find_addresses(views, s)] if addresses else []) + [x for x, _ in told]
     raw = written(finders.union(found, *others), "raw") if others else found
     parts = [raw, jdg.resolve_parked(parked, views, s)]
     if propagate:
-        parts.append(finders.propagate(views, written(jdg.seed_filter(raw, s), "seeds"), raw))
+        parts.append(finders.propagate(views, written(jdg.seed_filter(raw, s), "seeds"), raw, s))
     raw = written(finders.union(*parts), "raw")
     trimmed = written(mrg.trim_at_identifiers(raw, views, s), "trimmed")
     merged = written(mrg.merge(mrg.trim_addresses(trimmed, views), s), "merged")
@@ -62,15 +77,23 @@ def run(docs: DataFrame, settings: Settings | None = None, models: Sequence[find
     entities, mentions = ent.cluster(judged.where("decision = 'kept'").drop("decision", "reason"), s.redact_empty_keys)
     entities, mentions = sur.assign(written(entities, "entities"), written(mentions, "mentions"), s)
     entities, mentions = written(entities, "entities"), written(mentions, "mentions")
-    redacted = rewrite.rewrite(views, mentions)
-    return Run(views, raw, merged, judged, entities, mentions, redacted, rewrite.leaks(redacted, rewrite.needles(entities, mentions, s)))
+    redacted = written(rewrite.rewrite(views, mentions), "pages")
+    leaked = rewrite.leaks(redacted, rewrite.needles(entities, mentions, s))
+    return Run(views, raw, merged, judged, entities, mentions, redacted, leaked, reduce(DataFrame.unionByName, events) if events else None, signals)
 
 
-def write(result: Run, path: str, legend: str = "none") -> None:
-    """Pages, mapping, spans and review rows under ``path``."""
-    result.pages.write.mode("overwrite").parquet(f"{path}/pages")
+def write(result: Run, path: str, legend: str = "none", run_id: str = "run") -> bool:
+    """Pages, mapping, spans, review, audit and summary under ``path``. True if nothing leaks; else pages
+    of documents that leak are left out, and their summary rows say ``verify_failed``."""
+    summary = written(result.summary(), "summary")
+    good = summary.where("verify = 'ok'")
+    result.pages.join(good, "doc_id", "left_semi").write.mode("overwrite").parquet(f"{path}/pages")
     rewrite.mapping(result.entities).write.mode("overwrite").option("header", True).csv(f"{path}/mapping")
+    rewrite.nested_mapping(result.entities, result.mentions).write.mode("overwrite").json(f"{path}/mapping_json")
     rewrite.span_rows(result.mentions).write.mode("overwrite").option("header", True).csv(f"{path}/spans")
     rewrite.review_rows(result.judged).write.mode("overwrite").option("header", True).csv(f"{path}/review")
+    rewrite.audit_rows(result.judged, result.events, run_id).write.mode("overwrite").json(f"{path}/audit")
+    summary.write.mode("overwrite").json(f"{path}/summary")
     if legend != "none":
         rewrite.legend(result.entities, legend).write.mode("overwrite").json(f"{path}/legend")
+    return summary.where("verify <> 'ok'").isEmpty()

@@ -108,16 +108,19 @@ def html_addresses(spark, d):
     return finders.find_addresses(views.page_views(readers.from_html(table(spark, d, "pages")))).select("doc_id", "page_no", "start", "end", "text")
 
 
-@query()
-def chunk_counts(spark, d):
-    """Chunks of every page, in Arrow batches."""
+_CHUNK = "substr(text, at::BIGINT + 1, 1500)"
+_KEPT = "(CASE WHEN at + 1500 >= length(text) OR length(regexp_extract(substr(text, at::BIGINT + 1001, 500), '(?s)^.*(\\n|\\. )')) = 0 THEN 1500 ELSE 1000 + length(regexp_extract(substr(text, at::BIGINT + 1001, 500), '(?s)^.*(\\n|\\. )')) - CASE WHEN ends_with(regexp_extract(substr(text, at::BIGINT + 1001, 500), '(?s)^.*(\\n|\\. )'), ' ') THEN 1 ELSE 0 END END)"
 
-    def run(frames):
-        for frame in frames:
-            sizes = [views.chunks(t, 1500, 200) for t in frame["text"]]
-            yield frame[["doc_id", "page_no"]].assign(n_chunks=[len(s) for s in sizes], last_start=[s[-1][0] if s else 0 for s in sizes])
 
-    return doc_views(spark, d).mapInPandas(run, "doc_id long, page_no int, n_chunks long, last_start long")
+@query(f"""WITH RECURSIVE {VIEWS.removeprefix('WITH ')}, c(doc_id, page_no, text, at, n) AS (
+  SELECT doc_id, page_no, text, 0, 1 FROM views
+  UNION ALL SELECT doc_id, page_no, text, (at + {_KEPT} - 200)::INTEGER, n + 1 FROM c WHERE at + 1500 < length(text))
+SELECT doc_id, page_no, max(n)::BIGINT AS n_chunks, max(at)::BIGINT AS last_start FROM c GROUP BY 1, 2""")
+def chunk_counts(spark, d):
+    """Chunks of every page: how many, and where the last one starts."""
+    parts = views.chunks(F.col("text"), 1500, 200)
+    sized = doc_views(spark, d).select("doc_id", "page_no", F.transform(parts, lambda p: p.start).alias("starts"))
+    return sized.select("doc_id", "page_no", F.size("starts").cast("long").alias("n_chunks"), F.element_at("starts", -1).cast("long").alias("last_start"))
 
 
 # ---------------------------------------------------------------- pattern finder
@@ -327,7 +330,7 @@ def leak_scan(spark, d):
 
 @query()
 def judge_decisions(spark, d):
-    return engine.run(table(spark, d, "documents"), propagate=False).judged.groupBy("type", "decision", "reason").agg(F.count("*").alias("n"))
+    return engine.run(table(spark, d, "documents")).judged.groupBy("type", "decision", "reason").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -368,7 +371,7 @@ def eval_candidates(spark, d):
 
 @query()
 def eval_greedy(spark, d):
-    pred, truth = (written(x, "side") for x in _sides(spark, d))
+    pred, truth = _sides(spark, d)
     scored = evaluate.scores(pred, truth, evaluate.match(pred, truth))
     return scored.withColumn("type", F.coalesce("type", F.lit("all")))
 
