@@ -108,14 +108,13 @@ def html_addresses(spark, d):
     return finders.find_addresses(views.page_views(readers.from_html(table(spark, d, "pages")))).select("doc_id", "page_no", "start", "end", "text")
 
 
-_CHUNK = "substr(text, at::BIGINT + 1, 1500)"
-_KEPT = "(CASE WHEN at + 1500 >= length(text) OR length(regexp_extract(substr(text, at::BIGINT + 1001, 500), '(?s)^.*(\\n|\\. )')) = 0 THEN 1500 ELSE 1000 + length(regexp_extract(substr(text, at::BIGINT + 1001, 500), '(?s)^.*(\\n|\\. )')) - CASE WHEN ends_with(regexp_extract(substr(text, at::BIGINT + 1001, 500), '(?s)^.*(\\n|\\. )'), ' ') THEN 1 ELSE 0 END END)"
+_CUT = r"regexp_extract(substr(text, pos::BIGINT + 1001, 500), '(?s)^.*(\n|\. )')"
 
 
-@query(f"""WITH RECURSIVE {VIEWS.removeprefix('WITH ')}, c(doc_id, page_no, text, at, n) AS (
-  SELECT doc_id, page_no, text, 0, 1 FROM views
-  UNION ALL SELECT doc_id, page_no, text, (at + {_KEPT} - 200)::INTEGER, n + 1 FROM c WHERE at + 1500 < length(text))
-SELECT doc_id, page_no, max(n)::BIGINT AS n_chunks, max(at)::BIGINT AS last_start FROM c GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {VIEWS.removeprefix('WITH ')}, c AS (
+  SELECT doc_id, page_no, text, 0::BIGINT AS pos, 1 AS n FROM views
+  UNION ALL SELECT doc_id, page_no, text, pos + (CASE WHEN length({_CUT}) = 0 THEN 1500 ELSE 1000 + length({_CUT}) - ends_with({_CUT}, ' ')::INTEGER END) - 200, n + 1 FROM c WHERE pos + 1500 < length(text))
+SELECT doc_id, page_no, max(n)::BIGINT AS n_chunks, max(pos)::BIGINT AS last_start FROM c GROUP BY 1, 2""")
 def chunk_counts(spark, d):
     """Chunks of every page: how many, and where the last one starts."""
     parts = views.chunks(F.col("text"), 1500, 200)
