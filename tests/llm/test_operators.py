@@ -322,8 +322,8 @@ def test_quality_classifier(spark, docs, empty):
     assert {r.score for r in pu_quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_sharding(docs, empty):
-    for options in ({}, {"range_rows": 7, "sample": 16}):
+def test_sharding(spark, docs, empty):
+    for options in ({}, {"range_rows": 7, "sample": 16, "ranges_per_shard": 2}):
         out = sharding.shard(docs, **options).collect()
         same([(r.doc_id, r.size, r.text_crc32) for r in out], [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in TEXTS])
         slots, sizes = {}, Counter()
@@ -332,10 +332,18 @@ def test_sharding(docs, empty):
             sizes[r.shard] += r.size
             assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 40
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-        assert max(sizes.values()) <= sum(sizes.values()) / 40 + max(r.size for r in out)
+        assert max(sizes.values()) <= sum(sizes.values()) / 40 + 2 * max(r.size for r in out)
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"sample": 100, "ranges_per_shard": 50, "range_rows": 100}])
+def test_sharding_cuts_repeated_rows(spark, options):
+    rows = spark.range(30_000).selectExpr("if(id < 15000, 7, if(id % 9 = 0, null, id)) AS doc_id", "if(id < 15000, 'one text for all of these', repeat('x', int(id % 50))) AS text")
+    out = sharding.shard(rows, **options).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    share = sum(r.b for r in out) / 40
+    assert len(out) == 40 and all(abs(r.b - share) < 0.05 * share and r.n == r.slots == r.last + 1 for r in out)
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, PASSAGE), (2, "of the"), (3, None), (4, "..."), (10, PASSAGE), (5, "never seen words at all here")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
