@@ -344,7 +344,7 @@ def test_sharding_cuts_repeated_rows(spark, options):
     assert len(out) == 40 and all(abs(r.b - share) < 0.05 * share and r.n == r.slots == r.last + 1 for r in out)
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     items = [(1, PASSAGE), (2, "of the"), (3, None), (4, "..."), (10, PASSAGE), (5, "never seen words at all here")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     windows = {}
@@ -364,8 +364,13 @@ def test_decontamination(spark, docs, empty):
 
     row = lambda r: (r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated)
     same([row(r) for r in decontam.contamination(docs, benchmark).collect()], [expect(*x) for x in TEXTS])
-    single = docs.dropDuplicates(["doc_id"])
-    same([row(r) for r in decontam.contamination(single, benchmark, max_words=1).collect()], [expect(*x) for x in dict(TEXTS).items()])
+    same([row(r) for r in decontam.contamination(docs, benchmark, max_words=1).collect()], [expect(*x) for x in TEXTS])
+    for held in ("BLOCK_WORDS", "HELD_TERMS"):
+        monkeypatch.setattr(decontam, held, 50)
+        same([row(r) for r in decontam.contamination(docs, benchmark).collect()], [expect(*x) for x in TEXTS])
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    same([row(r)[1:] for r in decontam.contamination(unnamed, benchmark, max_words=1).collect()], [expect(*x)[1:] for x in TEXTS])
+    assert not any(r.contaminated for r in decontam.contamination(docs, benchmark.withColumn("item_id", F.lit(None))).collect())
     assert decontam.contamination(empty, benchmark).count() == 0
     assert not any(r.contaminated for r in decontam.contamination(docs, benchmark.limit(0)).collect())
     loose = spark.createDataFrame([(1, "a b x c d")], "doc_id long, text string")
@@ -373,6 +378,21 @@ def test_decontamination(spark, docs, empty):
     assert decontam.matches(loose, query).count() == 0 and decontam.matches(loose, query, slop=1).count() == 1
 
 
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = [[rng.choice("abcde") for _ in range(rng.randrange(0, 25))] for _ in range(80)]
+    items = [[rng.choice("abcde") for _ in range(rng.randrange(1, 6))] for _ in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    query = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    for slop in (None, 1, 2):
+        near = lambda t, p, x: x in t[max(0, p - (slop or 0)) : max(0, p + (slop or 0) + 1)]
+        expected = {i: {k for k, q in enumerate(items) for c in range(-5, len(t) + 5) if (slop or c >= 0) and all(near(t, c + j, x) for j, x in enumerate(q))} for i, t in enumerate(texts)}
+        got = {}
+        for r in decontam.matches(docs, query, slop=slop).collect():
+            got.setdefault(r.doc_id, set()).update(map(int, r["items"]))
+        assert got == {i: k for i, k in expected.items() if k}
+
+
 def test_line_dedup(docs, empty):
     key = lambda x: LOW(x.strip(" \t\n\x0b\x0c\r"))
     holders = {}
