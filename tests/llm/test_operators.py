@@ -281,10 +281,14 @@ def test_simhash(docs, empty):
     out = simhash.near_duplicates(docs).select("doc_id", simhash.hex_fingerprint().alias("f"), "component_id").collect()
     same([tuple(r) for r in out], [(i, f"{fps_of[i]:016x}", comp[i]) for i, _ in TEXTS])
     assert simhash.near_duplicates(empty).count() == 0
+    unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") != 60, F.col("doc_id")))  # 60 is a copy of 0
+    got = Counter((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(unnamed).where("doc_id is null or doc_id = 0").collect())
+    fp = np.uint64(fps_of[0]).astype(np.int64)
+    assert got == {(None, fp, 0): 1, (0, fp, 0): 1}
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 512])
-def test_links_miss_nothing(spark, bucket_rows):
+@pytest.mark.parametrize(("bucket_rows", "most_rows"), [(1, 20_000), (512, 20_000), (512, 10), (512, 2)])
+def test_links_miss_nothing(spark, bucket_rows, most_rows):
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for f in list(fps)[:60]:
@@ -295,7 +299,7 @@ def test_links_miss_nothing(spark, bucket_rows):
     fps |= {base ^ (1 << rng.randrange(16)) ^ (1 << rng.randrange(16)) ^ (rng.getrandbits(1) << 3) for _ in range(400)}
     fps = sorted(fps)
     rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)]
-    roots = {r.u: r.root for r in simhash.components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), 4, bucket_rows)).collect()}
+    roots = {r.u: r.root for r in simhash.components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), 4, bucket_rows, most_rows)).collect()}
     a = np.array(fps, np.uint64)
     near = np.bitwise_count(a[:, None] ^ a) <= 4
     comp = np.arange(len(fps))
@@ -410,6 +414,9 @@ def test_line_dedup(docs, empty):
         out = line_dedup.dedup_lines(docs, max_filter_mb=limit).select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), "n_lines", "n_dropped")
         same([tuple(r) for r in out.collect()], [expect(*x) for x in TEXTS])
     assert line_dedup.dedup_lines(empty).count() == 0
+    unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") > 60, F.col("doc_id")))
+    kept = {r.text for r in line_dedup.dedup_lines(unnamed).where("doc_id is null").collect()}
+    assert kept == {t for i, t in TEXTS if i <= 60}
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
