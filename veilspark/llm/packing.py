@@ -207,7 +207,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     runs, _ = plan(histogram, capacity)
     table = spark.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 5))
-    ranked = cut.join(counts.drop("n"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("task_rank")).alias("rank"))
+    # The table has a row for each length and task, so it grows with the input and is not broadcast.
+    ranked = cut.join(counts.drop("n").hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("task_rank")).alias("rank"))
     out = pa.schema([*list(PIECE)[:5], ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(batches):
