@@ -157,6 +157,47 @@ def test_license_scan(docs, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("min_idf", [0.7, 2.0])
+def test_license_scan_against_all_alignments(spark, min_idf):
+    rng = random.Random(8)
+    plain = [f"w{i}" for i in range(60)] + ["the", "software", "license", "this", "under", "of", "version", "2", "0"]
+    noise = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+
+    def bent(text, share):
+        return " ".join(w for w in text.split() if rng.random() > share) if rng.random() < 0.5 else " ".join("zz" if rng.random() < share else w for w in text.split())
+
+    texts = [noise(rng.randrange(0, 80)) for _ in range(30)]
+    texts += [f"{noise(9)} {bent(rng.choice(licenses.TEMPLATES).text, rng.choice((0, 0.02, 0.2, 0.5)))} {noise(7)}" for _ in range(90)]
+    texts += [" ".join(bent(t.text, 0.01) for t in rng.sample(licenses.TEMPLATES, 4)) for _ in range(5)]
+    words = [TERM.findall(LOW(t)) for t in texts]
+    idf = lambda x: math.log((len(texts) + 1) / (sum(x in set(w) for w in words) + 1))
+    templates = [(t.label, [x.decode() for x in t.words], t.phrases) for t in licenses.TEMPLATES]
+    weight = {x: idf(x) for _, t, _ in templates for x in t}
+
+    def expect(w):
+        labels, score, joined = set(), 0.0, f" {' '.join(w)} "
+        for label, t, phrases in templates:
+            rare = {x for x in t if weight[x] >= min_idf}
+            whole = sum(weight[x] for x in t)
+            for shift in range(-len(t) + 1, len(w)):
+                agreed = [x for i, x in enumerate(t) if 0 <= shift + i < len(w) and w[shift + i] == x]
+                votes = sum(x in rare for x in agreed)
+                if votes and votes >= min(2, len(rare)):
+                    share = sum(weight[x] for x in agreed) / whole
+                    score = max(score, share)
+                    if share >= 0.6 and all(f" {p} " in joined for p in phrases):
+                        labels.add(label)
+        return labels, min(1.0, score)
+
+    out = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_idf=min_idf).collect()
+    found = 0
+    for r in out:
+        labels, score = expect(words[r.doc_id])
+        assert set(filter(None, r.labels.split(","))) == labels | set(filter(None, r.base_labels.split(","))) and abs(r.score - score) < 1e-9
+        found += len(labels)
+    assert found > 40
+
+
 def test_license_scan_finds_all_of_many(spark):
     rows = [(i, "some plain prose about nothing much") for i in range(200)] + [(1000, "\n\n".join(t.text for t in licenses.TEMPLATES))]
     found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1000").first()
