@@ -137,6 +137,11 @@ def test_secret_scan(spark, docs, empty):
     again, nothing = secrets.scan_versions(docs, ledger)
     assert nothing.count() == 0
     same([(r.doc_id, base(r.spans)) for r in again.collect()], [(i, tuple(expect(t))) for i, t in TEXTS])
+    for limit in (0, 1, 10, 10**6):  # by a shuffle, and by either broadcast
+        for known in (None, ledger, ledger.where("blob < '8'"), ledger.where("rule <> 'hex@1'")):
+            out, more = secrets.scan_versions(docs, known, max_broadcast_rows=limit)
+            same([(r.doc_id, base(r.spans)) for r in out.collect()], [(i, tuple(expect(t))) for i, t in TEXTS])
+            assert more.count() == ledger.count() - (known.count() if known else 0)
     changed = [secrets.Rule(r.kind, 2, r.pattern, r.group, r.least, r.hint, r.base) if r.kind == "hex" else r for r in secrets.RULES]
     assert {r.rule for r in secrets.scan_versions(docs, ledger, changed)[1].select("rule").distinct().collect()} == {"hex@2"}
     assert secrets.scan_versions(empty)[0].count() == 0
@@ -367,6 +372,65 @@ def test_quality_classifier(spark, docs, empty):
     assert {r.score for r in pu_quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_features_and_slopes():
+    rng = np.random.default_rng(5)
+    for text in (b"", b"One two two. THE end\nof it!\n\nof it!", "\u00e9t\u00e9 the #tag 12\u20ac".encode(), b"x" * 5000):
+        words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+        got = pu_quality.features(text)
+        assert len(got) == pu_quality.N_FEATURES and np.isfinite(got).all()
+        if words:
+            shares = [sum(c in k for c in text) / len(text) for k in pu_quality.CLASSES]
+            letters = sum(map(len, words))
+            pairs = list(zip(words, words[1:]))
+            rest = [
+                math.log1p(len(words)), math.log1p(len(text) / len(words)), letters / len(words) / 10, len(set(words)) / len(words), len(set(pairs)) / max(1, len(pairs)),
+                sum(a == b for a, b in pairs) / max(1, len(pairs)), sum(w.isupper() for w in words) / len(words), sum(w.isalpha() for w in words) / len(words),
+                sum(w in pu_quality.FUNCTION_WORDS for w in words) / len(words), len(set(lines)) / len(lines), math.log1p(len(words) / len(lines)),
+                sum(len(w) == 1 for w in words) / len(words), max(map(len, words)) / letters,
+            ]
+            assert np.allclose(got, shares + rest)
+    loss = lambda z, y: np.logaddexp(0, -y * z).mean()
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0)):
+        z = rng.normal(shift, 1, 12)
+        risk = lambda v: prior * loss(v[:5], 1) + loss(v[5:], -1) - prior * loss(v[:5], -1)
+        up = lambda v: -(loss(v[5:], -1) - prior * loss(v[:5], -1))
+        f = risk if loss(z[5:], -1) >= prior * loss(z[:5], -1) else up
+        numeric = [(f(z + e) - f(z - e)) / 2e-6 for e in np.eye(12) * 1e-6]
+        assert np.allclose(pu_quality.risk_slope(z, 5, prior), numeric, atol=1e-6)
+        apart = lambda v: (loss(v[:5], 1) + loss(v[5:], -1)) / 2
+        assert np.allclose(pu_quality.apart_slope(z, 5), [(apart(z + e) - apart(z - e)) / 2e-6 for e in np.eye(12) * 1e-6], atol=1e-6)
+
+
+def test_quality_training_is_the_mean_of_tasks(spark):
+    rng = np.random.default_rng(1)
+    rows = rng.normal(0, 1, (90, pu_quality.N_FEATURES)).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "doc_id long, x array<float>").repartition(3).cache()
+    parts = [np.array([r.x for r in p], np.float32) for p in table.rdd.glom().collect() if p]
+    scale, n = pu_quality.Scale.of(table)
+    assert n == 90 and np.allclose(scale.mean, rows.mean(0), atol=1e-5) and np.allclose(scale.spread, rows.std(0) + 1e-3, atol=1e-4)
+    positive = scale(rows[:20])
+    slope = lambda z, k: pu_quality.risk_slope(z, k, 0.5)
+    begin = pu_quality.Network.fresh(pu_quality.N_FEATURES, 4, 3)
+    got = pu_quality.train(table, positive, scale, begin, slope, 1, steps=5)
+    mean = [np.zeros_like(p) for p in begin.p]
+    for part in parts:
+        own, x = pu_quality.Network(begin.p), np.concatenate([positive, scale(part)])
+        for _ in range(5):
+            own.step(x, slope(own.logit(x), 20), 0.004)
+        mean = [m + len(part) / 90 * p for m, p in zip(mean, own.p)]
+    assert all(np.allclose(a, b) for a, b in zip(got.p, mean))
+
+
+def test_class_prior(spark):
+    rng = np.random.default_rng(4)
+    make = lambda n, at: (rng.normal(0, 1, (n, pu_quality.N_FEATURES)) + at).astype(np.float32)
+    for share in (0.3, 0.8):
+        rows = np.concatenate([make(int(4000 * share), 1.0), make(4000 - int(4000 * share), -1.0)])
+        table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "doc_id long, x array<float>").repartition(2).cache()
+        scale, _ = pu_quality.Scale.of(table)
+        assert share - 0.1 < pu_quality.class_prior(table, scale(make(500, 1.0)), scale) < share + 0.02
+
+
 def test_sharding(spark, docs, empty):
     for options in ({}, {"range_rows": 7, "sample": 16, "ranges_per_shard": 2}):
         out = sharding.shard(docs, **options).collect()
@@ -460,6 +524,116 @@ def test_line_dedup(docs, empty):
     assert kept == {t for i, t in TEXTS if i <= 60}
 
 
+def test_pipeline_against_a_plain_chain(spark, docs, tmp_path):
+    """All five stages on every awkward row, each judged on its own input."""
+    import corpus_pipeline as cp
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(78, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = docs.unionByName(docs.where("doc_id in (4, 9)").withColumn("doc_id", F.lit(None).cast("long")))
+    extra.write.parquet(f"{tmp_path}/documents.parquet")
+    text_of = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    rows = sorted(text_of(extra).elements(), key=repr)
+    steps, now = dict(cp.STAGES), spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    model = pu_quality.fit(now, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    w1, b1, w2, b2 = model.params
+
+    def score(t):
+        x = (np.array(pu_quality.features((t or "").encode()), np.float32) - model.scale.mean) / model.scale.spread
+        return 1 / (1 + math.exp(-float(np.tanh(np.clip(x, -8, 8) @ w1 + b1) @ w2 + b2[0])))
+
+    rows = [x for x in rows if score(x[1]) >= 0.3]
+    now = steps["quality classifier"](spark, now, str(tmp_path))
+    assert now.columns == cp.COLUMNS and text_of(now) == Counter(rows) and 30 < len(rows) < extra.count()
+
+    key = lambda x: LOW(x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10 and i is not None:
+                holders.setdefault(key(x), set()).add(i)
+    stays = lambda i, x: i is None or len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == i
+    rows = [(i, "\n".join(x for x in (t or "").split("\n") if stays(i, x))) for i, t in rows]
+    now = steps["line dedup"](spark, now, str(tmp_path))
+    assert text_of(now) == Counter(rows) and now.where("n_chars <> length(text)").isEmpty()
+
+    ids = sorted({i for i, _ in rows if i is not None})
+    fps_of.clear()
+    prints = {}
+    for i, t in rows:
+        if i is not None:
+            prints.setdefault(i, brute_fingerprint(t))
+    fps_of.update(prints)
+    comp = brute_components(ids)
+    rows = [(i, t) for i, t in rows if i is None or comp[i] == i]
+    now = steps["SimHash near-dedup"](spark, now, str(tmp_path))
+    assert text_of(now) == Counter(rows)
+
+    passage = TERM.findall(LOW(PASSAGE))
+    windows = {tuple(passage[p : p + 13]) for p in range(len(passage) - 12)}
+
+    def dirty(t):
+        w = TERM.findall(LOW(t or ""))
+        hit = {q for p in range(len(w)) if tuple(w[p : p + 13]) in windows for q in range(p, p + 13)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    gone = {i for i, t in rows if i is not None and dirty(t)}
+    rows = [(i, t) for i, t in rows if i not in gone]
+    now = steps["benchmark decontamination"](spark, now, str(tmp_path))
+    assert text_of(now) == Counter(rows)
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    expected = Counter()
+    for i, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        expected.update((i, n, at, len(ids[at : at + 2048])) for n, at in enumerate(range(0, len(ids), 2048)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in steps["best-fit packing"](spark, now, str(tmp_path)).collect()) == expected
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in cp.run(spark, str(tmp_path)).collect()) == expected
+
+
+def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_text(spark):
+    """Megabytes in one row, beside an empty one: whole texts are read, by all operators."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    lines = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(25_000)]
+    text = "\n".join(lines) + "\nlast: token = abcdefgh99 mit license"
+    words, terms = WORD.findall(text), TERM.findall(LOW(text))
+    docs = spark.createDataFrame([(1, text, "en"), (2, "", "en"), (3, lines[-1] + "\nother words in a line", "en")], "doc_id long, text string, lang string")
+    benchmark = spark.createDataFrame([(1, " ".join(lines[-1].split() + ["last"]))], "item_id long, text string")
+    one = lambda df: df.where("doc_id = 1").collect()
+    assert one(quality_rules.quality_rules(docs))[0].n_words == len(words)
+    ids = [*Tokenizer.from_file(path := str(public_tokenizers.path("word_bpe_49k.json"))).encode(text, add_special_tokens=False).ids, 0]
+    assert sorted((r.start, r.ids_crc32) for r in one(packing.pack(docs, path))) == [(a, zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for a in range(0, len(ids), 2048)]
+    at = text.index("token = ")
+    assert [(x.kind, x.start, x.end) for x in one(secrets.scan_versions(docs)[0])[0].spans] == [("assign", at, at + 18)]
+    found = one(licenses.license_scan(docs))[0]
+    assert (found.n_words, found.n_base, found.first_word) == (len(terms), 1, len(terms) - 2)
+    assert one(suffix_lm.lm_scores(docs))[0].n_tokens == len(words) + 1
+    assert one(simhash.near_duplicates(docs))[0].fp == np.frombuffer(simhash.fingerprint(text.encode()), ">i8")[0]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert one(pu_quality.quality_scores(docs, labels))[0].score == 0.5
+    assert one(sharding.shard(docs))[0].size == len(text) + 16
+    hit = one(decontam.contamination(docs, benchmark))[0]
+    assert (hit.n_words, hit.n_hit, hit.contaminated) == (len(terms), 13, False)
+    dropped = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect()}
+    assert dropped == {1: (25_001, 0), 2: (1, 0), 3: (2, 1)}
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as cp
 

@@ -3,7 +3,8 @@
 Texts become a few shares and ratios (never labels, languages, sources or ids). A small network learns
 from trusted positives and unlabelled texts, minimising the non-negative unbiased risk; the class prior
 is estimated from how a first classifier ranks the two. The positives are a bounded sample of the
-labelled rows; the unlabelled are all rows: each task trains on its own, and the networks are averaged.
+labelled rows; the unlabelled are all rows, dealt out evenly: each task trains on its own, and the
+networks are averaged.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def features(text: bytes) -> list[float]:
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, fold, x): written once, read for training and for scoring."""
+    """(doc_id, fold, x): written once, read for training and for scoring. Rows are dealt out evenly, so that
+    what a task trains on is like the whole, however the documents are sorted."""
     out = pa.schema([("doc_id", pa.int64()), ("fold", pa.int32()), ("x", pa.list_(pa.float32()))])
 
     def run(batches):
@@ -66,7 +68,8 @@ def feature_table(docs: DataFrame) -> DataFrame:
             yield record(out, values_of(batch, "doc_id"), values_of(batch, "fold"), [features(t) for t in texts_of(batch)])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (id_crc32() % 5).cast("int").alias("fold"))
-    return materialize(map_text(chosen, run, "doc_id long, fold int, x array<float>"), "quality-features")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(map_text(chosen, run, "doc_id long, fold int, x array<float>").repartition(parts), "quality-features")
 
 
 class Network:
