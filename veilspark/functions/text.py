@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,6 +39,11 @@ def digit_guarded(text: Column, start: Column, end: Column) -> Column:
     return ~F.coalesce(F.when(start > 0, F.substring(text, start, F.lit(1))).rlike(r"(?U)\d"), F.lit(False)) & ~F.coalesce(F.substring(text, end + 1, F.lit(1)).rlike(r"(?U)\d"), F.lit(False))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..config import Settings
-from ..functions.text import casefold, hmac_hex, seed_number
+from ..functions.text import casefold, hmac_hex, let, seed_number
 from ..functions.validators import verhoeff_tables
+from ..plans.tables import written
 from .entities import normal_key
 
 # Own word lists for fakes.
@@ -50,11 +51,11 @@ def refit(skeleton: Column, chars: Column) -> Column:
     """``chars`` in the letter and digit places of the skeleton."""
     zero = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
-    def step(a: Column, c: Column) -> Column:
+    def step(a: Column, c: Column, chars: Column) -> Column:
         slot = c.rlike(r"[\p{L}\p{N}]")
         return F.struct(F.when(slot, a.n + 1).otherwise(a.n).alias("n"), F.concat(a.out, F.when(slot, F.substring(chars, a.n + 1, F.lit(1))).otherwise(c)).alias("out"))
 
-    return F.aggregate(F.split(skeleton, ""), zero, step).out
+    return let(chars, lambda known: F.aggregate(F.split(skeleton, ""), zero, lambda a, c: step(a, c, known)).out)
 
 
 def alnum(text: Column) -> Column:
@@ -142,12 +143,12 @@ def dob(text: Column, digest: Column) -> Column:
 
 def _card(text: Column, digest: Column) -> Column:
     body = digits_of(digest, F.length(alnum(text)) - 1)
-    return refit(text, F.concat(body, _luhn_digit(body)))
+    return refit(text, let(body, lambda b: F.concat(b, _luhn_digit(b))))
 
 
 def _aadhaar(text: Column, digest: Column) -> Column:
     body = F.concat((seed_number(digest, 8, 0) + 2).cast("string"), digits_of(F.substring(digest, 61, 100), 10))
-    return refit(text, F.concat(body, _verhoeff_digit(body)))
+    return refit(text, let(body, lambda b: F.concat(b, _verhoeff_digit(b))))
 
 
 def _gstin(text: Column, digest: Column) -> Column:
@@ -193,10 +194,8 @@ def length_match(real: Column, drafts: Column) -> Column:
     return F.coalesce(F.get(near, 0), F.array_min(ranked).d)
 
 
-def _token_fake(salt: str, token: Column, last: Column) -> Column:
-    digest = hmac_hex(salt, F.concat(F.lit("PERSON|token|"), token))
-    drawn = lambda names: F.transform(F.sequence(F.lit(0), F.lit(LENGTH_DRAWS - 1)), lambda i: pick(names, F.sha2(F.concat(digest, i.cast("string")).cast("binary"), 256), 0))
-    return length_match(token, F.when(last, drawn(LAST_NAMES)).otherwise(drawn(FIRST_NAMES)))
+def _drafts(digest: Column, names: tuple[str, ...]) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(LENGTH_DRAWS - 1)), lambda i: pick(names, F.sha2(F.concat(digest, i.cast("string")).cast("binary"), 256), 0))
 
 
 def name_dictionary(entities: DataFrame, salt: str) -> DataFrame:
@@ -205,7 +204,11 @@ def name_dictionary(entities: DataFrame, salt: str) -> DataFrame:
     people = entities.where("type = 'PERSON'").select("doc_id", "first", F.split("key", " ").alias("words"))
     each = people.select("doc_id", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "token")).where(F.length("token") > 1)
     role = each.groupBy("doc_id", "token").agg(F.min_by(F.col("i") == F.col("n") - 1, F.struct("first", "i")).alias("last"))
-    fakes = role.select("doc_id", "token", _token_fake(salt, F.col("token"), F.col("last")).alias("fake"))
+    # Each word's draws are worked out once, wherever and however often documents use it.
+    words = role.select("token", "last").distinct().withColumn("digest", hmac_hex(salt, F.concat(F.lit("PERSON|token|"), "token")))
+    drawn = words.withColumn("drafts", F.when(F.col("last"), _drafts(F.col("digest"), LAST_NAMES)).otherwise(_drafts(F.col("digest"), FIRST_NAMES)))
+    fakes = written(drawn.select("token", "last", length_match(F.col("token"), F.col("drafts")).alias("fake")), "name-fakes")
+    fakes = role.join(fakes, ["token", "last"])
     return fakes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "fake"))).alias("names"))
 
 
@@ -230,18 +233,18 @@ def render_person(text: Column, names: Column) -> Column:
 
 def person_email(local: Column, names: Column) -> Column:
     """The mailbox by a known person's fakes, separators kept, also where two names are glued; null if a
-    part is no known name."""
+    part is no known name. ``names`` should be a plain column: it is looked up in many times."""
     parts = F.regexp_extract_all(F.lower(local), F.lit(r"[a-z]+|[^a-z]+"), F.lit(0))
 
     def part(p: Column) -> Column:
-        lowered = F.transform_values(names, lambda k, v: F.lower(v))
-        heads = F.filter(F.array_sort(F.map_keys(names)), lambda k: p.startswith(k) & F.map_contains_key(names, F.substring(p, F.length(k) + 1, F.length(p))))
-        head = F.get(heads, 0)
-        glued = F.concat(F.try_element_at(lowered, head), F.try_element_at(lowered, F.substring(p, F.length(head) + 1, F.length(p))))
-        return F.when(p.rlike("^[a-z]"), F.coalesce(F.try_element_at(lowered, p), glued)).otherwise(p)
+        rest = lambda k: F.substring(p, F.length(k) + 1, F.length(p))
+        head = F.get(F.filter(F.array_sort(F.map_keys(names)), lambda k: p.startswith(k) & F.map_contains_key(names, rest(k))), 0)
+        glued = F.concat(F.try_element_at(names, head), F.try_element_at(names, rest(head)))
+        return F.when(p.rlike("^[a-z]"), F.lower(F.when(F.map_contains_key(names, p), F.try_element_at(names, p)).otherwise(glued))).otherwise(p)
 
     mapped = F.transform(parts, part)
-    return F.when(~F.exists(mapped, lambda m: m.isNull()) & F.exists(parts, lambda p: p.rlike("[a-z]")), F.array_join(mapped, ""))
+    whole = F.array_join(F.transform(mapped, lambda m: F.coalesce(m, F.lit("\0"))), "")
+    return F.when(~whole.contains("\0") & local.rlike("(?i)[a-z]"), whole)
 
 
 def assign(entities: DataFrame, mentions: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
@@ -250,11 +253,14 @@ def assign(entities: DataFrame, mentions: DataFrame, settings: Settings | None =
     digest = stream(s.salt, F.concat(F.col("type"), F.lit("|"), normal_key(F.col("type"), F.col("canonical"))))
     names = F.coalesce("names", F.create_map().cast("map<string,string>"))
     known = entities.join(name_dictionary(entities, s.salt), "doc_id", "left").withColumn("names", names).withColumn("digest", digest)
-    mailbox = person_email(F.substring_index("canonical", "@", 1), F.col("names"))
+    known = known.withColumn("local", F.when(F.col("type") == "EMAIL", F.substring_index("canonical", "@", 1)))
+    known = written(known, "digests")  # else each of the many uses of a digest or a name works it out anew
+    known = written(known.withColumn("mailbox", person_email(F.col("local"), F.col("names"))).drop("local"), "mailboxes")
+    mailbox = F.col("mailbox")
     fake = F.when(F.col("type") == "PERSON", render_person(F.col("canonical"), F.col("names")))
     fake = fake.when((F.col("type") == "EMAIL") & mailbox.isNotNull(), F.concat(mailbox, F.lit("@example.com")))
-    named = known.withColumn("surrogate", fake.otherwise(entity_surrogate(F.col("type"), F.col("canonical"), F.col("digest"))))
+    named = written(known.withColumn("surrogate", fake.otherwise(entity_surrogate(F.col("type"), F.col("canonical"), F.col("digest")))), "named")
     each = mentions.join(named.select("doc_id", "entity_id", F.col("surrogate").alias("whole"), "names"), ["doc_id", "entity_id"])
     shaped = F.col("type").isin(list(config.SHAPE_TYPES)) & (F.length(alnum(F.col("text"))) == F.length(alnum(F.col("whole"))))
     own = F.when(F.col("type") == "PERSON", render_person(F.col("text"), F.col("names"))).when(shaped, refit(F.col("text"), alnum(F.col("whole")))).otherwise(_cased(F.col("text"), F.col("whole")))
-    return named.drop("names", "digest"), each.withColumn("surrogate", own).drop("whole", "names")
+    return named.drop("names", "digest", "mailbox"), each.withColumn("surrogate", own).drop("whole", "names")
