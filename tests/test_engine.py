@@ -279,6 +279,108 @@ def test_docx_round_trip(tmp_path, spark):
     assert [r.text for r in readers.parse_docx(files).collect()] == ["Call Ravi now\ncell"]
 
 
+def docx_file(path):
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="a" xmlns:p="p"'
+    run = lambda *texts: "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in texts)
+    picture = '<w:r><w:drawing><p:extent cx="127000" cy="254000"/><a:blip r:embed="rId7"/></w:drawing></w:r>'
+    paragraphs = [run("Our head is Mr. Ra", "vi Na", "ir, card 4111 1111 ", "1111 1111 now"), f"<w:r><w:t>Mail:</w:t><w:tab/><w:t>ravi.n@acme.org</w:t></w:r>{picture}", run("Ravi Nair signed")]
+    body = f"<w:document {w}><w:body>{''.join(f'<w:p>{p}</w:p>' for p in paragraphs)}</w:body></w:document>"
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="mailto:ravi.n@acme.org" TargetMode="External"/></Relationships>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", body)
+        z.writestr("word/_rels/document.xml.rels", rels)
+    return path.read_bytes()
+
+
+def docx_text(content):
+    out = {}
+    for para, _, t in readers.docx_runs(content):
+        out[para] = out.get(para, "") + t
+    return list(out.values())
+
+
+def test_office_files_end_to_end(spark, tmp_path):
+    from veilspark.plans.office import redact_files
+
+    content = docx_file(tmp_path / "a.docx")
+    words = list(readers.docx_file_words(content, 50))
+    assert [w[2] for w in words if w[3] == 0][3:6] == ["Mr.", "Ra", "vi"] and words[4][4] == words[5][4] and words[-1][2] == "ravi.n@acme.org"
+    assert readers.docx_images(content) == [("rId7", 1, 10.0, 20.0)]
+    model = finders.gazetteer({"Ravi Nair": "PERSON"})
+    result, files = redact_files(spark, str(tmp_path / "a.docx"), models=[lambda v: finders.find_with_model(v, model)])
+    assert result.views.first().text.split("\n")[:2] == ["Our head is Mr. Ravi Nair, card 4111 1111 1111 1111 now", "Mail: ravi.n@acme.org"]
+    new = bytes(files.first().content)
+    fake = {r.text.strip(): r.surrogate.strip() for r in result.mentions.collect()}
+    assert docx_text(new) == [f"Our head is Mr. {fake['Ravi Nair']}, card {fake['4111 1111 1111 1111']} now", f"Mail:\t{fake['ravi.n@acme.org']}", f"{fake['Ravi Nair']} signed"]
+    assert readers.docx_links(new) == [fake["ravi.n@acme.org"]] and b"acme.org" not in new
+
+
+def test_service(spark, tmp_path):
+    import json
+    import threading
+    import time
+    import urllib.error
+    import urllib.request
+
+    from veilspark.plans.service import Jobs, serve
+
+    content = docx_file(tmp_path / "a.docx")
+    server = serve(Jobs(spark, str(tmp_path / "jobs")), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def code(path, data=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, data), timeout=60) as r:
+                return r.status, r.read()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read()
+
+    assert code("/redact?name=a.txt", b"x")[0] == 400 and code("/jobs/none")[0] == 404 and code("/jobs/none/download")[0] == 404
+    job = json.loads(code("/redact?name=a.docx", content)[1])["job_id"]
+    broken = json.loads(code("/redact?name=b.docx", b"no zip")[1])["job_id"]
+    assert code(f"/jobs/{broken}/download")[0] == 409
+    state = lambda j: json.loads(code(f"/jobs/{j}")[1])
+    for _ in range(240):
+        if state(broken)["status"] in ("done", "failed", "verify_failed"):
+            break
+        time.sleep(0.5)
+    assert state(job)["status"] == "done" and state(broken)["status"] == "failed"
+    assert b"acme.org" not in code(f"/jobs/{job}/download")[1] and b"ravi.n@acme.org" in code(f"/jobs/{job}/mapping")[1]
+    server.shutdown()
+
+
+def test_ocr_lines_and_boxes(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (200).to_bytes(4, "big") + (100).to_bytes(4, "big")
+    images = spark.createDataFrame([(1, 1, 0, bytearray(png), 10.0, 20.0, 110.0, 70.0), (1, 2, 0, bytearray(png), None, None, None, None)], "doc_id long, page_no int, image_no int, png binary, x0 double, y0 double, x1 double, y1 double")
+    lines = [([(20, 10), (60, 10), (60, 30), (20, 30)], " Ravi ", 0.9), ([(0, 0), (1, 0), (1, 1), (0, 1)], "dim", 0.4), ([(0, 0), (1, 0), (1, 1), (0, 1)], " ", 0.9)]
+    got = {(r.page_no, r.line, r.text, r.x0, r.y0, r.x1, r.y1) for r in readers.ocr_words(images, lambda: lambda content: lines).collect()}
+    assert got == {(1, 0, "Ravi", 20.0, 25.0, 40.0, 35.0), (2, 0, "Ravi", 20.0, 10.0, 60.0, 30.0)}
+    words = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 5.0, 9.0), (1, 1, 1, 6.0, 1.0, 9.0, 12.0)], "doc_id long, page_no int, word_id int, x0 double, y0 double, x1 double, y1 double")
+    mention = spark.createDataFrame([(1, 1, 0, 9, 0, 1, "P1", "Gray Fern")], "doc_id long, page_no int, start int, end int, w0 int, w1 int, entity_id string, surrogate string")
+    assert [tuple(r) for r in readers.covering_boxes(words, mention).collect()] == [(1, 1, "P1", "Gray Fern", 0.0, 0.0, 9.0, 12.0)]
+
+
+def test_review(spark):
+    from veilspark.operators.review import review
+
+    before, after = pages(spark, "Ravi is here", "nothing", "bad"), pages(spark, "Noel is here", "nothing", "bad")
+    mention = spark.createDataFrame([(1, 1, "Ravi", "Noel", "PERSON")], "doc_id long, page_no int, text string, surrogate string, type string")
+
+    def load():
+        def ask(system, text):
+            if "bad" in text:
+                raise RuntimeError("down")
+            return '{"leaks": ["' + ("- Ravi -> Noel (PERSON)" if "- Ravi -> Noel (PERSON)" in text else "none") + '"], "inconsistent": "one"}'
+
+        return ask
+
+    got = {r.page_no: (r.leaks, r.wrong_replacements, r.inconsistent, r.error) for r in review(before, after, mention, load).collect()}
+    assert got == {1: (["- Ravi -> Noel (PERSON)"], [], ["one"], None), 2: (["none"], [], ["one"], None), 3: ([], [], [], "RuntimeError: down")}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from veilspark.streaming.ingest import redact_stream
 

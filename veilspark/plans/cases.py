@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..operators import finders, rewrite
+from ..operators import evaluate, finders, rewrite
 from . import engine
 
 FIRST, LAST = ("Asha", "Ravi", "Meera"), ("Nair", "Iyer", "Bose", "Shah")
@@ -74,6 +74,20 @@ def leaks(customers: DataFrame) -> DataFrame:
     return found.unionByName(result.leaks.select("doc_id", "page_no", "entity_id", F.lit("rewritten").alias("pages"))).distinct()
 
 
+def scores(customers: DataFrame) -> DataFrame:
+    """The run's mentions against a truth that lacks two of them in each letter and has one more."""
+    found = run(customers).mentions.select("doc_id", F.col("page_no").alias("page"), "text", "type")
+    both = letters(customers).where("page_no = 1").select("doc_id", "text")
+    name = F.regexp_extract("text", r"Mr[.] (\w+ \w+) by", 1)
+    mail = F.regexp_extract("text", r"to (\S+) now", 1)
+    row = lambda page, text, kind: F.struct(F.lit(page).alias("page"), text.alias("text"), F.lit(kind).alias("type"))
+    known = [row(1, name, "PERSON"), row(2, name, "PERSON"), row(1, mail, "EMAIL"), row(2, F.upper(mail), "EMAIL"), row(1, F.lit(FIRM), "ORG"), row(1, F.lit("Someone Missed"), "PERSON")]
+    truth = both.select("doc_id", F.explode(F.array(*known)).alias("x")).select("doc_id", "x.page", "x.text", "x.type")
+    pred, truth = evaluate.numbered(found), evaluate.numbered(truth)
+    scored = evaluate.scores(pred, truth, evaluate.match(pred, truth))
+    return scored.select(F.coalesce("type", F.lit("all")).alias("type"), "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
 # ---------------------------------------------------------------- what must come out
 # A card's pattern takes one separator after the last digit too.
 
@@ -91,7 +105,12 @@ x AS (
   UNION ALL SELECT k, 2, 'PERSON', f || ' ' || l, 'P1', 'kept', 'kept', 'gliner', 0.9 FROM p
   UNION ALL SELECT k, 2, 'EMAIL', m, 'EMAIL1', 'kept', 'kept', 'regex', 0.8 FROM p)"""
 
+_SCORES = """WITH n AS (SELECT count(*) AS n FROM customer), s(type, tp, fp, fn) AS (VALUES ('PERSON', 2, 1, 1), ('EMAIL', 2, 0, 0), ('ORG', 1, 0, 0), ('ADDRESS', 0, 1, 0), ('CREDIT_CARD', 0, 1, 0), ('all', 5, 3, 1)),
+r AS (SELECT *, CASE WHEN tp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp > 0 THEN tp / (tp + fn) ELSE 0 END AS q FROM s)
+SELECT type, tp * n AS tp, fp * n AS fp, fn * n AS fn, round(p, 9)::DOUBLE AS precision, round(q, 9)::DOUBLE AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 9)::DOUBLE AS f1 FROM r, n"""
+
 ORACLES = {
+    "case_scores": _SCORES,
     "case_entities": f"""{_FOUND} SELECT k AS doc_id, entity_id, type, trim(max_by(text, length(text))) AS real, count(*) AS mention_count, string_agg(DISTINCT page_no::VARCHAR, ';' ORDER BY page_no::VARCHAR) AS pages
 FROM x WHERE decision = 'kept' GROUP BY 1, 2, 3""",
     "case_surrogates": f"{_FOUND} SELECT k AS doc_id, entity_id, count(*) AS fitting, 1::BIGINT AS spellings FROM x WHERE decision = 'kept' GROUP BY 1, 2",

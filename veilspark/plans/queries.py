@@ -308,14 +308,17 @@ def surrogate_ip(spark, d):
     return table(spark, d, "customer").select("c_custkey", surrogates.ip(F.lit("10.0.0.1"), digest).alias("surrogate"))
 
 
-@query()
+@query("SELECT c_custkey, true AS credit_card_ok, true AS aadhaar_ok, true AS pan_ok, true AS ssn_ok, true AS din_ok, 1::BIGINT AS same_again FROM customer")
 def surrogate_formats(spark, d):
-    """Surrogates of every shape for every customer, each checked by its own validator."""
-    keyed = table(spark, d, "customer").select("c_custkey", surrogates.stream(SALT, F.col("c_name")).alias("digest"))
+    """Surrogates of every shape for every customer: each passes its own validator, differs from the real
+    value and keeps its punctuation, and the same key gives the same surrogate."""
+    keyed = table(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"), surrogates.stream(SALT, F.col("c_name")).alias("digest"))
     real = {"CREDIT_CARD": "4111 1111 1111 1111", "AADHAAR": "2345 6789 0124", "PAN": "ABCPK1234F", "SSN": "123-45-6789", "DIN": "01234567"}
-    checks = {"CREDIT_CARD": val.luhn, "AADHAAR": val.verhoeff, "PAN": val.pan, "SSN": val.ssn}
-    fakes = keyed.select("c_custkey", *(surrogates.GENERATORS[k](F.lit(v), F.col("digest")).alias(k.lower()) for k, v in real.items()))
-    return fakes.select("*", *(check(F.replace(k.lower(), F.lit(" "))).alias(f"{k.lower()}_ok") for k, check in checks.items()))
+    checks = {"CREDIT_CARD": val.luhn, "AADHAAR": val.verhoeff, "PAN": val.pan, "SSN": val.ssn, "DIN": lambda v: v.rlike("^[0-9]{8}$")}
+    fakes = keyed.select("c_custkey", *(surrogates.GENERATORS[k](F.lit(v), F.col("digest")).alias(k) for k, v in real.items()))
+    plain = lambda x: F.regexp_replace(x, "[A-Z0-9]", "x")
+    good = [F.bool_and(check(F.replace(k, F.lit(" "))) & (F.col(k) != real[k]) & (plain(F.col(k)) == plain(F.lit(real[k])))).alias(f"{k.lower()}_ok") for k, check in checks.items()]
+    return fakes.groupBy("c_custkey").agg(*good, F.count_distinct(F.struct(*real)).alias("same_again"))
 
 
 # ---------------------------------------------------------------- whole runs

@@ -124,6 +124,107 @@ def write_docx(content: bytes, replacements: dict[int, list[tuple[int, int, str]
     return out.getvalue()
 
 
+WORDS_DDL = (
+    "doc_id string, page_no int, word_id int, text string, source string, block int, line int, para int, run int, at int, link string, x0 double, y0 double, x1 double, y1 double"
+)
+
+
+def docx_file_words(content: bytes, per_page: int) -> Iterator[tuple]:
+    """(page_no, word_id, text, block, line, para, run, at, link) of a file's words. ``line`` counts the
+    paragraph's tokens: pieces of one token, cut by a change of format, share it. ``at``: the first
+    character's place in the paragraph's text. Identifying targets of links stand behind the last paragraph."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = ["word/document.xml", *sorted(n for n in z.namelist() if re.fullmatch(r"word/(header|footer)\d*\.xml", n))]
+        roots = [ElementTree.fromstring(z.read(n)) for n in names]
+    para, ids = -1, {}
+
+    def row(text: str, token: int, run: int, at: int, link: str | None = None) -> tuple:
+        page = para // per_page + 1
+        ids[page] = ids.get(page, -1) + 1
+        return page, ids[page], text, para, token, para, run, at, link
+
+    for root in roots:
+        body = root.find(f"{WORD}body")
+        for para, p in enumerate(_paragraphs(body if body is not None else root), para + 1):
+            token, at, apart = -1, 0, True
+            for run, r in enumerate(p.iter(f"{WORD}r")):
+                for t in r:
+                    if t.tag != f"{WORD}t":
+                        apart = apart or t.tag in (f"{WORD}tab", f"{WORD}br")
+                        continue
+                    text = t.text or ""
+                    for m in re.finditer(r"\S+", text):
+                        token += apart or m.start() > 0
+                        apart = False
+                        yield row(m.group(), token, run, at + m.start())
+                    apart = text[-1].isspace() if text else apart
+                    at += len(text)
+    for target in docx_links(content):
+        para += 1
+        yield row(target, 0, 0, 0, target)
+
+
+def docx_words(files: DataFrame, per_page: int = 50) -> DataFrame:
+    """A words table (``geometry`` says of what kind) of DOCX files, with ``run``, ``at`` and ``link``. A file
+    that cannot be read has no words."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for doc_id, content in frame[["doc_id", "content"]].itertuples(index=False):
+                try:
+                    rows += [(doc_id, page, word, text, "link" if link else "native", block, line, para, run_, at, link, *[None] * 4) for page, word, text, block, line, para, run_, at, link in docx_file_words(bytes(content), per_page)]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WORDS_DDL.split(", ")]).astype(dict.fromkeys(("x0", "y0", "x1", "y1"), "float64"))
+
+    return files.where("format = 'docx'").select("doc_id", "content").mapInPandas(run, WORDS_DDL)
+
+
+def docx_images(content: bytes) -> list[tuple[str, int, float, float]]:
+    """(relation, paragraph, width, height) of embedded pictures, in points; 12,700 units are one."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    for para, p in enumerate(_paragraphs(root.find(f"{WORD}body"))):
+        for drawing in p.iter(f"{WORD}drawing"):
+            size = next((e for e in drawing.iter() if e.tag.endswith("}extent")), None)
+            width, height = (int(size.get(k, 0)) / 12700 if size is not None else 0.0 for k in ("cx", "cy"))
+            out += [(e.get(f"{RELATION}embed"), para, width, height) for e in drawing.iter() if e.tag.endswith("}blip") and e.get(f"{RELATION}embed")]
+    return out
+
+
+def ocr_words(images: DataFrame, load: Callable[[], Callable[[bytes], list]], least_score: float = 0.5) -> DataFrame:
+    """One word a line of text that an injected engine reads: (doc_id, page_no, image_no, line, text, score, x0,
+    y0, x1, y1). ``images``: doc_id, page_no, image_no, png, and the image's box on the page, x0..y1, or
+    nulls; boxes of lines are in page points then, else in pixels. Blank lines, and those of a lower score,
+    are left out. The engine gives (four corners, text, score) for each line, or None."""
+
+    def run(frames):
+        read = load()
+        for frame in frames:
+            rows = []
+            for doc_id, page_no, image_no, png, *box in frame[["doc_id", "page_no", "image_no", "png", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+                wide, high = int.from_bytes(png[16:20], "big"), int.from_bytes(png[20:24], "big")  # the PNG header's size
+                sx, sy, left, top = (1.0, 1.0, 0.0, 0.0) if pd.isna(box[0]) else ((box[2] - box[0]) / wide, (box[3] - box[1]) / high, box[0], box[1])
+                for line, (corners, text, score) in enumerate(read(bytes(png)) or []):
+                    xs, ys = zip(*corners)
+                    rows.append((doc_id, page_no, image_no, line, text.strip(), float(score), left + min(xs) * sx, top + min(ys) * sy, left + max(xs) * sx, top + max(ys) * sy))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "image_no", "line", "text", "score", "x0", "y0", "x1", "y1"])
+
+    id_type = images.schema["doc_id"].dataType.simpleString()
+    found = images.select("doc_id", "page_no", "image_no", "png", "x0", "y0", "x1", "y1").mapInPandas(run, f"doc_id {id_type}, page_no int, image_no int, line int, text string, score double, x0 double, y0 double, x1 double, y1 double")
+    return found.where((F.col("text") != "") & (F.col("score") >= least_score))
+
+
+def covering_boxes(words: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(doc_id, page_no, entity_id, surrogate, x0..y1): for each mention in words with boxes the box around
+    them all, what an image writer paints over."""
+    spot = words.where("x0 is not null").select("doc_id", "page_no", "word_id", "x0", "y0", "x1", "y1")
+    met = mentions.join(spot, ["doc_id", "page_no"]).where(F.col("word_id").between(F.col("w0"), F.col("w1")))
+    return met.groupBy("doc_id", "page_no", "start", "entity_id", "surrogate").agg(*(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1"))).drop("start")
+
+
 def parse_docx(files: DataFrame) -> DataFrame:
     """(doc_id, text): a line for each paragraph. A file that cannot be read gives a null text."""
 
