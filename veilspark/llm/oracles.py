@@ -75,7 +75,7 @@ FROM marked GROUP BY doc_id
 
 
 def _op1() -> str:
-    from .quality_rules import COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, OTHER
+    from .quality_rules import COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_BLANK, MIN_CHARS, MIN_WORDS, OTHER, WORD_PART
 
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
     lists = ", ".join(f"('{lang}', {words!r})" for lang, words in [*COMMON_WORDS.items(), (OTHER, every)])
@@ -108,11 +108,13 @@ h AS (
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 refs AS (
   SELECT * FROM (SELECT lang_ref, list(n ORDER BY i) AS ref_chars FROM (SELECT lang_ref, i, sum(chars[i]) AS n FROM h, unnest(range(1, 8)) AS u(i) WHERE NOT base_failed GROUP BY 1, 2) GROUP BY 1)
-  JOIN (SELECT lang_ref, list(n ORDER BY i) AS ref_words FROM (SELECT lang_ref, i, sum(words[i]) AS n FROM h, unnest(range(1, len(words) + 1)) AS u(i) WHERE NOT base_failed GROUP BY 1, 2) GROUP BY 1) USING (lang_ref))
+  JOIN (SELECT lang_ref, list(n ORDER BY i) AS ref_words FROM (SELECT lang_ref, i, sum(words[i]) AS n FROM h, unnest(range(1, len(words) + 1)) AS u(i) WHERE NOT base_failed GROUP BY 1, 2) GROUP BY 1) USING (lang_ref)),
+blanks AS (SELECT lang_ref, {distance("list_transform(ref_words, lambda x, i: CASE WHEN i = len(ref_words) THEN 1 ELSE 0 END)", "ref_words")} AS blank FROM refs),
+limits AS (SELECT lang_ref, CASE WHEN blank >= {MIN_BLANK} THEN least({MAX_WORD_DISTANCE}, blank * {WORD_PART}) ELSE {MAX_WORD_DISTANCE} END AS most FROM blanks)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(CASE WHEN n_chars >= {MIN_CHARS} THEN {distance("chars", "ref_chars")} END, 0) <= {MAX_CHAR_DISTANCE}
-    AND coalesce(CASE WHEN n_words >= {MIN_WORDS} THEN {distance("words", "ref_words")} END, 0) <= {MAX_WORD_DISTANCE} AS kept
-FROM h LEFT JOIN refs USING (lang_ref)
+    AND coalesce(CASE WHEN n_words >= {MIN_WORDS} THEN {distance("words", "ref_words")} END, 0) <= coalesce(most, {MAX_WORD_DISTANCE}) AS kept
+FROM h LEFT JOIN refs USING (lang_ref) LEFT JOIN limits USING (lang_ref)
 """
 
 
