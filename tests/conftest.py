@@ -1,8 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("PII_SALT", "test-salt")
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 

@@ -400,3 +400,20 @@ def test_entry_registers():
 def test_settings():
     s = Settings().with_type("PHONE", enabled=False)
     assert "PHONE" not in [t.name for t in s.enabled()]
+
+
+def test_no_surrogates_without_a_salt(spark):
+    with pytest.raises(ValueError, match="PII_SALT"):
+        engine.run(spark.createDataFrame([(1, "mail a.b@example.org now")], "doc_id long, text string"), Settings(salt=""))
+
+
+def test_documents_that_leak_are_not_written(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "mail a.b@example.org now"), (2, "card 4111 1111 1111 1111 and 74111 1111 1111 1111")], "doc_id long, text string")
+    result = engine.run(docs)
+    assert {r.doc_id for r in result.leaks.collect()} == {2}
+    assert not engine.write(result, str(tmp_path / "out"), run_id="r1")
+    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "out/pages")).collect()} == {1}
+    verify = {r.doc_id: r.verify for r in spark.read.json(str(tmp_path / "out/summary")).collect()}
+    assert verify == {1: "ok", 2: "verify_failed"}
+    nested = spark.read.json(str(tmp_path / "out/mapping_json")).where("doc_id = 1").first()
+    assert [m.text for m in nested.mentions] == ["a.b@example.org"] and spark.read.json(str(tmp_path / "out/audit")).count() > 0

@@ -122,7 +122,7 @@ class Settings:
     max_image_area_ratio: float = 0.10
     easy_page_sample: float = 0.10
     ner_threshold: float = 0.4
-    salt: str = field(default_factory=lambda: os.environ.get("PII_SALT", "dev-salt"))
+    salt: str = field(default_factory=lambda: os.environ.get("PII_SALT", ""))  # secret: whoever knows it can guess back
     legend: str = "none"  # none, surrogates or full
     paragraphs_per_page: int = 50
     #: Give entities without a letter or digit that keys keep a surrogate all the same.

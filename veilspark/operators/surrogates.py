@@ -22,6 +22,7 @@ COMPANY_WORDS = ("Amber", "Beacon", "Copper", "Delta", "Ember", "Falcon", "Garne
 COMPANY_KINDS = ("Works", "Systems", "Foods", "Textiles", "Motors", "Energy", "Logistics", "Media", "Labs", "Trading")
 STREETS = ("Oak", "Mill", "Station", "Garden", "Lake", "Temple", "Market", "Bridge", "Canal", "Hillside")
 CITIES = ("Norwick", "Eastham", "Velmora", "Karsted", "Brookfell", "Santavia", "Lindholm", "Torvale", "Ashgrove", "Melbury")
+#: Fixed value: legal forms that a fake company keeps.
 ORG_SUFFIX = r"(?i)\s*(private limited|pvt\.?\s*ltd\.?|limited|ltd\.?|llp|inc\.?|corporation|corp\.?|plc|trust|bank|&\s*co\.?|and co\.?)\s*$"
 
 
@@ -250,6 +251,8 @@ def person_email(local: Column, names: Column) -> Column:
 def assign(entities: DataFrame, mentions: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """(entities, mentions) with a ``surrogate`` column. Same salt and value, same surrogate."""
     s = settings or Settings()
+    if not s.salt:
+        raise ValueError("set PII_SALT or Settings.salt: without a secret salt surrogates can be guessed back")
     digest = stream(s.salt, F.concat(F.col("type"), F.lit("|"), normal_key(F.col("type"), F.col("canonical"))))
     names = F.coalesce("names", F.create_map().cast("map<string,string>"))
     known = entities.join(name_dictionary(entities, s.salt), "doc_id", "left").withColumn("names", names).withColumn("digest", digest)

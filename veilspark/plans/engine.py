@@ -33,6 +33,10 @@ class Run:
     events: DataFrame | None = None
     signals: DataFrame | None = None
 
+    def safe_pages(self) -> DataFrame:
+        """The rewritten pages of documents that do not leak: what may be handed on."""
+        return self.pages.join(self.leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+
     def summary(self) -> DataFrame:
         """A row for each document with pages: what was found, and whether nothing leaks. With signals also
         the hard pages and those that went to a model."""
@@ -86,8 +90,7 @@ def write(result: Run, path: str, legend: str = "none", run_id: str = "run") ->
     """Pages, mapping, spans, review, audit and summary under ``path``. True if nothing leaks; else pages
     of documents that leak are left out, and their summary rows say ``verify_failed``."""
     summary = written(result.summary(), "summary")
-    good = summary.where("verify = 'ok'")
-    result.pages.join(good, "doc_id", "left_semi").write.mode("overwrite").parquet(f"{path}/pages")
+    result.safe_pages().write.mode("overwrite").parquet(f"{path}/pages")
     rewrite.mapping(result.entities).write.mode("overwrite").option("header", True).csv(f"{path}/mapping")
     rewrite.nested_mapping(result.entities, result.mentions).write.mode("overwrite").json(f"{path}/mapping_json")
     rewrite.span_rows(result.mentions).write.mode("overwrite").option("header", True).csv(f"{path}/spans")

@@ -12,11 +12,11 @@ from ..plans.engine import run
 
 def redact_stream(spark: SparkSession, source: str, target: str, checkpoint: str, settings: Settings | None = None, schema: str = "doc_id long, text string") -> StreamingQuery:
     """Reads Parquet documents as they come and appends rewritten pages and mentions, a folder a batch, so
-    that a batch that is repeated after a failure overwrites its own output."""
+    that a batch that is repeated after a failure overwrites its own output. Documents that leak are left out."""
 
     def batch(docs: DataFrame, number: int) -> None:
         result = run(docs, settings)
-        result.pages.write.mode("overwrite").parquet(f"{target}/pages/batch={number}")
+        result.safe_pages().write.mode("overwrite").parquet(f"{target}/pages/batch={number}")
         result.mentions.write.mode("overwrite").parquet(f"{target}/mentions/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
