@@ -7,7 +7,6 @@ Status codes: 400 for files that are no .docx, 404 for unknown jobs and paths, 4
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -23,11 +22,11 @@ from .office import redact_files
 
 
 class Jobs:
-    """States: queued, running, done, verify_failed, failed. ``folder`` must be one that executors can read."""
+    """States: queued, running, done, verify_failed, failed. ``folder``: one that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, settings: Settings | None = None, models: Sequence[finders.Finder] = ()):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, models: Sequence[finders.Finder] = ()):
         self.spark, self.settings, self.models = spark, settings, models
-        self.folder = Path(folder or tempfile.mkdtemp(prefix="veilspark-jobs-"))
+        self.folder = Path(folder)
         self.states: dict[str, dict] = {}
         self.worker = ThreadPoolExecutor(max_workers=1)
 
