@@ -13,7 +13,7 @@ from veilspark.functions import text as tx
 from veilspark.functions.validators import VALIDATORS
 from veilspark.operators import entities, evaluate, finders, geometry, merge, rewrite, surrogates, views
 from veilspark.operators import judge as jdg
-from veilspark.plans import engine
+from veilspark.plans import cases, engine
 from veilspark.sources import readers
 
 PAGE = (
@@ -417,3 +417,44 @@ def test_documents_that_leak_are_not_written(spark, tmp_path):
     assert verify == {1: "ok", 2: "verify_failed"}
     nested = spark.read.json(str(tmp_path / "out/mapping_json")).where("doc_id = 1").first()
     assert [m.text for m in nested.mentions] == ["a.b@example.org"] and spark.read.json(str(tmp_path / "out/audit")).count() > 0
+
+
+# ---------------------------------------------------------------- whole runs at size
+
+
+@pytest.fixture
+def stages(monkeypatch):
+    """The labels of the tables that a run writes, in order."""
+    labels, write = [], engine.written
+    monkeypatch.setattr(engine, "written", lambda df, label: labels.append(label) or write(df, label))
+    return labels
+
+
+@pytest.fixture(scope="module")
+def customers(spark):
+    return spark.range(7).withColumnRenamed("id", "c_custkey").coalesce(1)
+
+
+def test_letters_of_a_small_file_are_dealt_out(spark, customers):
+    assert cases.letters(customers).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+
+def test_leaks_run_every_stage(customers, stages):
+    rows = cases.leaks(customers).collect()
+    assert len(rows) == 49 and {r.pages for r in rows} == {"original"} and stages[-5:] == ["entities", "mentions", "entities", "mentions", "pages"]
+
+
+def test_offsets_beside_the_separator(spark):
+    """Matches in texts that hold the character that stands for a match, and words by number."""
+    texts = ["", "12 ab 34", "\0 12\0 34", "x12", "a\U0001f60012 b 7\n8"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.find_all(F.col("t"), r"\d+").alias("m"), rewrite.word_offsets(F.col("t"), F.lit(1)).alias("w")).collect()
+    for r in got:
+        assert [tuple(m) for m in r.m] == [(*m.span(), m[0]) for m in re.finditer(r"\d+", r.t)]
+        assert r.w == len(re.split("[ \n]", r.t)[0]) + 1
+
+
+def test_loose_variants_with_signs(spark):
+    views_ = pages(spark, "Smith & Sons Ltd. wrote.", "S m i t h & Sons Ltd. again, SMITH &SONS LTD.")
+    seed = views_.limit(1).selectExpr("doc_id", "page_no", "0 start", "17 end", "'Smith & Sons Ltd.' text", "'ORG' type", "array('gliner') finders", "0.9D confidence", "0 w0", "3 w1", "0L seq")
+    assert {r.text for r in finders.propagate(views_, seed).collect()} >= {"S m i t h & Sons Ltd.", "SMITH &SONS LTD."}

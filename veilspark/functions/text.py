@@ -21,7 +21,6 @@ def find_all(text: Column, pattern: str | Column) -> Column:
     has their starts as running sums, so nothing is searched twice."""
     literal = isinstance(pattern, str)
     p = F.lit(unicode_pattern(pattern)) if literal else pattern
-    gaps, found = F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0))
     none = F.array().cast(MATCHES)
     zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
@@ -30,8 +29,14 @@ def find_all(text: Column, pattern: str | Column) -> Column:
         end = start + F.length(x.m)
         return F.struct(end.alias("at"), F.concat(a.out, F.array(F.struct(start.alias("start"), end.alias("end"), x.m.alias("text")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step).out).otherwise(none)
+    # Split compiles a pattern at each call; where matches are replaced it is kept for rows in a row.
+    gaps = F.when(F.contains(text, F.lit("\0")), F.split(text, p, -1)).otherwise(F.split(F.regexp_replace(text, p, F.lit("\0")), "\0", -1))
+
+    def placed(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step).out).otherwise(none)
+
+    return let(F.regexp_extract_all(text, p, F.lit(0)), placed)
 
 
 def digit_guarded(text: Column, start: Column, end: Column) -> Column:
@@ -96,7 +101,7 @@ def seed_number(hex_digest: Column, modulus: int, draw: int = 0) -> Column:
 def words_before(text: Column, at: Column) -> Column:
     """How many words of a single-spaced text end before offset ``at``."""
     head = F.substring(text, F.lit(1), at)
-    return (F.length(head) - F.length(F.translate(head, " \n", ""))).cast("int")
+    return (F.length(head) - F.length(F.replace(F.replace(head, F.lit(" ")), F.lit("\n")))).cast("int")
 
 
 def any_of(tests: list[Column]) -> Column:

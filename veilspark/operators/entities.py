@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import casefold, name_tokens
+from ..plans.tables import written
 
 
 def normal_key(type_: Column, text: Column) -> Column:
@@ -56,11 +57,11 @@ def person_links(keys: DataFrame) -> DataFrame:
 def cluster(kept: DataFrame, keep_empty_keys: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entities, mentions). Entities: doc_id, entity_id, type, key, canonical, mention_count, pages;
     ids count up within a document and prefix by first mention. Mentions: spans with entity_id and key."""
-    spans = mentions(kept, keep_empty_keys)
+    spans = written(mentions(kept, keep_empty_keys), "keyed")
     place = F.struct("page_no", "w0", "seq")
     keys = spans.groupBy("doc_id", "type", "key").agg(F.min(place).alias("first"))
     links = person_links(keys).withColumn("type", F.lit("PERSON"))
-    joined = spans.join(links, ["doc_id", "type", "key"], "left").withColumn("root", F.coalesce("target", "key")).drop("target")
+    joined = written(spans.join(links, ["doc_id", "type", "key"], "left").withColumn("root", F.coalesce("target", "key")).drop("target"), "linked")
     size = F.when(F.col("type") == "PERSON", F.size(name_tokens(F.col("text"), config.CLUSTER_HONORIFICS))).otherwise(0)
     tidy = F.trim(F.regexp_replace("text", r"[^\S\n]+", " "))
     untitled = F.array_join(F.filter(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " "), lambda t: ~F.lower(F.rtrim(t, F.lit("."))).isin(list(config.CLUSTER_HONORIFICS))), " ")

@@ -13,8 +13,8 @@ PAGE = ["doc_id", "page_no"]
 
 def word_offsets(text: Column, word: Column) -> Column:
     """Offset at which word number ``word`` of a single-spaced text begins."""
-    before = F.slice(F.split(F.translate(text, "\n", " "), " "), 1, word)
-    return F.aggregate(before, F.lit(0), lambda a, w: a + F.length(w) + 1)
+    before = F.call_function("substring_index", F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(" "), word)
+    return F.when(word > 0, F.length(before) + 1).otherwise(0)
 
 
 def apply_edits(text: Column, edits: Column) -> Column:

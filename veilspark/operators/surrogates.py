@@ -113,12 +113,15 @@ def pan(text: Column, digest: Column) -> Column:
 
 def org(text: Column, digest: Column) -> Column:
     """A fake company of about the real one's length, with its legal form."""
-    suffix = F.regexp_extract(text, ORG_SUFFIX, 0)
-    suffix = F.when(F.length(suffix) < F.length(text), suffix).otherwise("")
-    wanted = F.length(text) - F.length(suffix)
     drafts = F.array(*(F.concat_ws(" ", pick(COMPANY_WORDS, digest, i), pick(COMPANY_KINDS, digest, i + 5)) for i in range(8)), *(pick(COMPANY_WORDS, digest, i) for i in range(4)))
-    ranked = F.transform(drafts, lambda d, i: F.struct(F.when(F.abs(F.length(d) - wanted) * 5 <= wanted, F.lit(0)).otherwise(F.abs(F.length(d) - wanted)).alias("far"), i.alias("i"), d.alias("d")))
-    return F.concat(F.array_min(ranked).d, suffix)
+    far = lambda d, wanted: F.when(F.abs(F.length(d) - wanted) * 5 <= wanted, F.lit(0)).otherwise(F.abs(F.length(d) - wanted))
+
+    def fitted(suffix: Column) -> Column:
+        ranked = lambda wanted: F.transform(drafts, lambda d, i: F.struct(far(d, wanted).alias("far"), i.alias("i"), d.alias("d")))
+        return F.concat(let(F.length(text) - F.length(suffix), lambda wanted: F.array_min(ranked(wanted)).d), suffix)
+
+    found = F.regexp_extract(text, ORG_SUFFIX, 0)
+    return let(F.when(F.length(found) < F.length(text), found).otherwise(""), fitted)
 
 
 def address(text: Column, digest: Column) -> Column:
@@ -222,7 +225,10 @@ def render_person(text: Column, names: Column) -> Column:
     of the fake of a name that they may stand for."""
 
     def token(t: Column) -> Column:
-        pre, core, post = (F.regexp_extract(t, r"(?U)^(\W*)(.*?)(\W*)$", i) for i in (1, 2, 3))
+        return let(F.regexp_extract(t, r"(?U)^(\W*)(.*?)(\W*)$", 2), lambda core: rendered(t, core))
+
+    def rendered(t: Column, core: Column) -> Column:
+        pre, post = (F.regexp_extract(t, r"(?U)^(\W*)(.*?)(\W*)$", i) for i in (1, 3))
         low = casefold(core)
         title = F.lower(core).isin(list(config.CLUSTER_HONORIFICS))
         starts = F.filter(F.array_sort(F.map_keys(names)), lambda k: k.startswith(low))
@@ -248,11 +254,15 @@ def person_email(local: Column, names: Column) -> Column:
     return F.when(~whole.contains("\0") & local.rlike("(?i)[a-z]"), whole)
 
 
+def salted(settings: Settings) -> Settings:
+    if not settings.salt:
+        raise ValueError("set PII_SALT or Settings.salt: without a secret salt surrogates can be guessed back")
+    return settings
+
+
 def assign(entities: DataFrame, mentions: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """(entities, mentions) with a ``surrogate`` column. Same salt and value, same surrogate."""
-    s = settings or Settings()
-    if not s.salt:
-        raise ValueError("set PII_SALT or Settings.salt: without a secret salt surrogates can be guessed back")
+    s = salted(settings or Settings())
     digest = stream(s.salt, F.concat(F.col("type"), F.lit("|"), normal_key(F.col("type"), F.col("canonical"))))
     names = F.coalesce("names", F.create_map().cast("map<string,string>"))
     known = entities.join(name_dictionary(entities, s.salt), "doc_id", "left").withColumn("names", names).withColumn("digest", digest)

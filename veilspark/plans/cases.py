@@ -29,6 +29,8 @@ def letters(customers: DataFrame) -> DataFrame:
     """(doc_id, page_no, text)."""
     k = F.col("c_custkey")
     name = lambda names, by: F.get(F.array(*map(F.lit, names)), by.cast("int"))
+    # A key becomes two pages, so a small file of keys is dealt out before the texts are made.
+    customers = customers.select("c_custkey").repartition(int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     named = customers.select(k.alias("doc_id"), name(FIRST, k % 3).alias("f"), name(LAST, F.floor(k / 3) % 4).alias("l"))
     both = named.withColumn("m", F.concat(F.lower("f"), F.lit("."), F.lower("l"), "doc_id", F.lit("@mail.example"))).withColumn("n", F.concat_ws(" ", "f", "l"))
     extra = [F.when(F.col("doc_id") % 2 == 1, f"{LONE} met. ").otherwise(""), F.when(F.col("doc_id") % 3 == 0, f"The {EXEMPT} order stands. ").otherwise("")]

@@ -1,11 +1,11 @@
 """The whole run: pages, spans, merged, judged, entities, rewritten pages, leaks. Tables that several
-later stages read are written once."""
+later stages read are written once; what comes after judging is worked out when it is first asked for."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +26,37 @@ class Run:
     raw: DataFrame
     merged: DataFrame
     judged: DataFrame
-    entities: DataFrame
-    mentions: DataFrame
-    pages: DataFrame
-    leaks: DataFrame
+    settings: Settings
     events: DataFrame | None = None
     signals: DataFrame | None = None
 
+    @cached_property
+    def clustered(self) -> tuple[DataFrame, DataFrame]:
+        """Entities and mentions, as yet without surrogates."""
+        entities, mentions = ent.cluster(self.judged.where("decision = 'kept'").drop("decision", "reason"), self.settings.redact_empty_keys)
+        return written(entities, "entities"), written(mentions, "mentions")
+
+    @cached_property
+    def assigned(self) -> tuple[DataFrame, DataFrame]:
+        entities, mentions = sur.assign(*self.clustered, self.settings)
+        return written(entities, "entities"), written(mentions, "mentions")
+
+    @property
+    def entities(self) -> DataFrame:
+        return self.assigned[0]
+
+    @property
+    def mentions(self) -> DataFrame:
+        return self.assigned[1]
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return written(rewrite.rewrite(self.views, self.mentions), "pages")
+
+    @cached_property
+    def leaks(self) -> DataFrame:
+        return rewrite.leaks(self.pages, rewrite.needles(self.entities, self.mentions, self.settings))
+
     def safe_pages(self) -> DataFrame:
         """The rewritten pages of documents that do not leak: what may be handed on."""
         return self.pages.join(self.leaks.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -57,7 +81,7 @@ def run(
     """``docs``: doc_id and text. ``models``: further finders, functions from views to spans (and events). Only
     the pages in ``pages`` ("1-6,128") are read. ``signals``: routing signals of pages; with them, models
     get only the pages that ``model_pages`` picks. All shuffles are on doc_id or (doc_id, page_no)."""
-    s = settings or Settings()
+    s = sur.salted(settings or Settings())
     views = page_views(docs, s) if views is None else views
     views = written(only_pages(views, pages) if pages else views, "views")
     hits = written(finders.regex_candidates(views, s), "hits")
@@ -71,19 +95,14 @@ def run(
     events = [e for _, e in told if e is not None]
     others = ([finders.find_addresses(views, s)] if addresses else []) + [x for x, _ in told]
     raw = written(finders.union(found, *others), "raw") if others else found
-    parts = [raw, jdg.resolve_parked(parked, views, s)]
+    more = [jdg.resolve_parked(parked, views, s)]
     if propagate:
-        parts.append(finders.propagate(views, written(jdg.seed_filter(raw, s), "seeds"), raw, s))
-    raw = written(finders.union(*parts), "raw")
+        more.append(finders.propagate(views, written(jdg.seed_filter(raw, s), "seeds"), raw, s))
+    raw = finders.union(raw, written(finders.union(*more), "more"))
     trimmed = written(mrg.trim_at_identifiers(raw, views, s), "trimmed")
     merged = written(mrg.merge(mrg.trim_addresses(trimmed, views), s), "merged")
     judged = written(jdg.judge(merged, views, s), "judged")
-    entities, mentions = ent.cluster(judged.where("decision = 'kept'").drop("decision", "reason"), s.redact_empty_keys)
-    entities, mentions = sur.assign(written(entities, "entities"), written(mentions, "mentions"), s)
-    entities, mentions = written(entities, "entities"), written(mentions, "mentions")
-    redacted = written(rewrite.rewrite(views, mentions), "pages")
-    leaked = rewrite.leaks(redacted, rewrite.needles(entities, mentions, s))
-    return Run(views, raw, merged, judged, entities, mentions, redacted, leaked, reduce(DataFrame.unionByName, events) if events else None, signals)
+    return Run(views, raw, merged, judged, s, reduce(DataFrame.unionByName, events) if events else None, signals)
 
 
 def write(result: Run, path: str, legend: str = "none", run_id: str = "run") -> bool:
