@@ -439,6 +439,12 @@ def test_letters_of_a_small_file_are_dealt_out(spark, customers):
     assert cases.letters(customers).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
 
 
+def test_decisions_stop_at_the_judge(customers, stages):
+    assert cases.decisions(customers).count() == 7 * 9 + 3 + 3  # odd keys: 1, 3, 5; by three: 0, 3, 6
+    assert stages[-1] == "judged" and stages.count("raw") == 1
+
+
+
 
 def test_leaks_run_every_stage(customers, stages):
     rows = cases.leaks(customers).collect()
