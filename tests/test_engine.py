@@ -445,6 +445,12 @@ def test_decisions_stop_at_the_judge(customers, stages):
 
 
 
+def test_surrogates_need_no_pages(customers, monkeypatch):
+    monkeypatch.setattr(rewrite, "rewrite", None)
+    rows = cases.surrogates(customers).collect()
+    assert len(rows) == 35 and all(r.spellings == 1 for r in rows) and sum(r.fitting for r in rows) == 7 * 8
+
+
 
 def test_leaks_run_every_stage(customers, stages):
     rows = cases.leaks(customers).collect()
