@@ -444,6 +444,11 @@ def test_decisions_stop_at_the_judge(customers, stages):
     assert stages[-1] == "judged" and stages.count("raw") == 1
 
 
+def test_entities_need_no_surrogates(customers, stages, monkeypatch):
+    monkeypatch.setattr(surrogates, "assign", None)
+    rows = cases.entities(customers).collect()
+    assert len(rows) == 35 and {r.real for r in rows if r.type == "ORG"} == {cases.FIRM} and stages[-2:] == ["entities", "mentions"]
+
 
 def test_surrogates_need_no_pages(customers, monkeypatch):
     monkeypatch.setattr(rewrite, "rewrite", None)

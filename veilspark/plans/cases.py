@@ -47,7 +47,7 @@ def run(customers: DataFrame) -> engine.Run:
 
 
 def entities(customers: DataFrame) -> DataFrame:
-    return rewrite.mapping(run(customers).entities).drop("surrogate")
+    return run(customers).clustered[0].select("doc_id", "entity_id", "type", F.col("canonical").alias("real"), "mention_count", "pages")
 
 
 def surrogates(customers: DataFrame) -> DataFrame:
