@@ -456,6 +456,11 @@ def test_surrogates_need_no_pages(customers, monkeypatch):
     assert len(rows) == 35 and all(r.spellings == 1 for r in rows) and sum(r.fitting for r in rows) == 7 * 8
 
 
+def test_scores_need_no_surrogates(customers, monkeypatch):
+    monkeypatch.setattr(surrogates, "assign", None)
+    assert {r.type: (r.tp, r.fp, r.fn) for r in cases.scores(customers).collect()}["all"] == (35, 21, 7)
+
+
 
 def test_leaks_run_every_stage(customers, stages):
     rows = cases.leaks(customers).collect()

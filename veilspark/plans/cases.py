@@ -78,7 +78,7 @@ def leaks(customers: DataFrame) -> DataFrame:
 
 def scores(customers: DataFrame) -> DataFrame:
     """The run's mentions against a truth that lacks two of them in each letter and has one more."""
-    found = run(customers).mentions.select("doc_id", F.col("page_no").alias("page"), "text", "type")
+    found = run(customers).clustered[1].select("doc_id", F.col("page_no").alias("page"), "text", "type")
     both = letters(customers).where("page_no = 1").select("doc_id", "text")
     name = F.regexp_extract("text", r"Mr[.] (\w+ \w+) by", 1)
     mail = F.regexp_extract("text", r"to (\S+) now", 1)
