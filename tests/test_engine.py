@@ -461,6 +461,11 @@ def test_scores_need_no_surrogates(customers, monkeypatch):
     assert {r.type: (r.tp, r.fp, r.fn) for r in cases.scores(customers).collect()}["all"] == (35, 21, 7)
 
 
+def test_tagged_pages_need_no_surrogates(customers, monkeypatch):
+    monkeypatch.setattr(surrogates, "assign", None)
+    texts = {(r.doc_id, r.page_no): r.text for r in cases.tagged(customers).collect()}
+    assert len(texts) == 14 and texts[1, 2] == "<P1> wrote again from <EMAIL1> today."
+
 
 def test_leaks_run_every_stage(customers, stages):
     rows = cases.leaks(customers).collect()

@@ -65,7 +65,7 @@ def decisions(customers: DataFrame) -> DataFrame:
 def tagged(customers: DataFrame) -> DataFrame:
     """The pages with each mention's entity in place of its surrogate."""
     result = run(customers)
-    return rewrite.rewrite(result.views, result.mentions.withColumn("surrogate", F.concat(F.lit("<"), "entity_id", F.lit(">"))))
+    return rewrite.rewrite(result.views, result.clustered[1].withColumn("surrogate", F.concat(F.lit("<"), "entity_id", F.lit(">"))))
 
 
 def leaks(customers: DataFrame) -> DataFrame:
