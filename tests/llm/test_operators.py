@@ -284,6 +284,59 @@ def test_suffix_lm_against_brute_force(docs, monkeypatch, options):
         assert i == j and abs(a - b) < 1e-4 * max(1, abs(b))
 
 
+def brute_grown_tree(train, texts, beyond, depth, min_count, min_gain, prior, min_share, hot_count):
+    """The score of each text, where contexts grow word by word to ``beyond`` words before the near one."""
+    split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    count = Counter(w for t in train for w in split(t))
+    n, v = sum(count.values()), len(count)
+    head = {w: (c + 1) / (n + v + 1) for w, c in count.items() if c >= min_share * n}
+    rare = (1 - sum(head.values())) / (v - len(head) + 1)
+    hot = {w for w, c in count.items() if c >= hot_count and w in head}
+
+    def chain(words, j):
+        """The contexts of position j, the near one first; None is the text's start."""
+        i = next((j - k for k in range(1, min(j, depth) + 1) if words[j - k] not in hot or k == depth), None)
+        return [] if i is None else [(None,) * (k > i) + tuple(words[max(0, i - k) : j]) for k in range(min(beyond, i + 1) + 1)]
+
+    after, suffix = {}, {}
+    for t in train:
+        w = split(t)
+        for j, x in enumerate(w):
+            for up, c in zip([None, *(cs := chain(w, j))], cs):
+                after.setdefault(c, Counter())[x] += 1
+                suffix[c] = up
+
+    def chance(c, x, out=0):
+        if c is None:
+            return head.get(x, rare)
+        weight = prior * len(after[c])
+        return (after[c][x] - out + weight * chance(suffix[c], x)) / (sum(after[c].values()) - out + weight)
+
+    kept = {c for c, seen in after.items() if sum(seen.values()) >= min_count and sum(k * math.log(chance(c, x, 1) / chance(suffix[c], x)) for x, k in seen.items()) >= min_gain}
+    for c in list(kept):
+        while (c := suffix[c]) is not None:
+            kept.add(c)
+    return [sum(math.log10(chance(next((c for c in reversed(chain(w, j)) if c in kept), None), x)) for j, x in enumerate(w)) for w in map(split, texts)]
+
+
+@pytest.mark.parametrize("options", [{"beyond": 3}, {"beyond": 2, "hot_count": 60, "min_share": 0.002, "bucket_tokens": 500, "depth": 3}, {"beyond": 5, "min_count": 3, "min_gain": 1.0, "prior": 0.5}])
+def test_suffix_lm_grows_contexts_word_by_word(docs, monkeypatch, options):
+    monkeypatch.setattr(suffix_lm, "HELD_TOKENS", 3000)
+    given = {"depth": 8, "min_count": 2, "min_gain": 3.0, "prior": 1.0, "min_share": 1e-6, "hot_count": 200_000} | {k: v for k, v in options.items() if k != "bucket_tokens"}
+    expected = brute_grown_tree([t for i, t in TEXTS if i % 3], [t for _, t in TEXTS], **given)
+    got = sorted((r.doc_id, r.score) for r in suffix_lm.lm_scores(docs, F.col("doc_id") % 3 != 0, **options).collect())
+    for (i, a), (j, b) in zip(got, sorted(zip([i for i, _ in TEXTS], expected)), strict=True):
+        assert i == j and abs(a - b) < 1e-4 * max(1, abs(b))
+
+
+def test_suffix_lm_tells_words_three_back(spark):
+    """What follows "b c d" hangs on the word before them, which near and far contexts of two words do not see."""
+    rows = [(i, f"{'x' if i % 2 else 'y'} b c d {'p' if i % 2 else 'q'}") for i in range(400)] + [(1000, "x b c d p"), (1001, "x b c d q")]
+    scores = lambda k: {r.doc_id: r.score for r in suffix_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000, beyond=k).where("doc_id >= 1000").collect()}
+    short, long = scores(1), scores(3)
+    assert abs(short[1000] - short[1001]) < 0.01 and long[1000] > long[1001] + 2
+
+
 def test_suffix_lm_beats_its_base_on_held_out_texts(spark):
     rng = random.Random(9)
     nouns, verbs = [f"n{i}" for i in range(200)], [f"v{i}" for i in range(200)]
