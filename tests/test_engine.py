@@ -485,3 +485,19 @@ def test_loose_variants_with_signs(spark):
     views_ = pages(spark, "Smith & Sons Ltd. wrote.", "S m i t h & Sons Ltd. again, SMITH &SONS LTD.")
     seed = views_.limit(1).selectExpr("doc_id", "page_no", "0 start", "17 end", "'Smith & Sons Ltd.' text", "'ORG' type", "array('gliner') finders", "0.9D confidence", "0 w0", "3 w1", "0L seq")
     assert {r.text for r in finders.propagate(views_, seed).collect()} >= {"S m i t h & Sons Ltd.", "SMITH &SONS LTD."}
+
+
+def test_confirmed_words_are_not_searched_again(spark):
+    """What is left of a page to look for variants in; a match is searched for once."""
+    rows = [("Ann Lee met\nBob Ray and Ann Lee", [(0, 1), (3, 4)]), ("Ann Lee", [(0, 1)]), ("Ann Lee", None), ("a b c d", [(0, 2), (1, 1), (3, 3)])]
+    table = spark.createDataFrame(rows, "t string, c array<struct<c0:int,c1:int>>").coalesce(1)
+    assert [r.x for r in table.select(finders._uncovered(F.col("t"), F.col("c")).alias("x")).collect()] == ["\0met\0andAnnLee", "\0", "Ann Lee", "\0\0\0"]
+    plan = spark.range(1).select(tx.find_all(F.col("id").cast("string"), r"\d+").alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 1 and "slice(" not in plan
+
+
+def test_propagation_keeps_what_touches_no_confirmed_word(spark):
+    views = spark.createDataFrame([("d", 1, "Asha Nair met Nair. Nair and\nAsha Nair"), ("d", 2, "asha nair")], "doc_id string, page_no int, text string")
+    raw = spark.createDataFrame([("d", 1, 0, 9, "Asha Nair", "PERSON", ["gliner"], 0.9, 0, 1, 1), ("d", 1, 29, 38, "Asha Nair", "PERSON", ["gliner"], 0.9, 6, 7, 2)], "doc_id string, page_no int, start int, end int, text string, type string, finders array<string>, confidence double, w0 int, w1 int, seq long")
+    found = sorted((r.page_no, r.start, r.end, r.w0, r.w1) for r in finders.propagate(views, raw, raw).collect())
+    assert found == [(1, 14, 18, 3, 3), (1, 20, 24, 4, 4), (2, 0, 9, 0, 1), (2, 5, 9, 1, 1)]

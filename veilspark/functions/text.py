@@ -17,26 +17,23 @@ def unicode_pattern(pattern: str) -> str:
 
 
 def find_all(text: Column, pattern: str | Column) -> Column:
-    """All non-empty matches with code-point offsets from 0. What ``split`` leaves between the matches
-    has their starts as running sums, so nothing is searched twice."""
+    """All non-empty matches with code-point offsets from 0. One replacement sets the matches off from what
+    stands between them, and offsets are running sums over the pieces, so nothing is searched twice."""
     literal = isinstance(pattern, str)
     p = F.lit(unicode_pattern(pattern)) if literal else pattern
     none = F.array().cast(MATCHES)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        start = a.at + F.length(x.g)
-        end = start + F.length(x.m)
-        return F.struct(end.alias("at"), F.concat(a.out, F.array(F.struct(start.alias("start"), end.alias("end"), x.m.alias("text")))).alias("out"))
-
-    # Split compiles a pattern at each call; where matches are replaced it is kept for rows in a row.
-    gaps = F.when(F.contains(text, F.lit("\0")), F.split(text, p, -1)).otherwise(F.split(F.regexp_replace(text, p, F.lit("\0")), "\0", -1))
-
-    def placed(found: Column) -> Column:
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step).out).otherwise(none)
-
-    return let(F.regexp_extract_all(text, p, F.lit(0)), placed)
+        end = a.at + F.length(x)
+        found = F.concat(a.out, F.array(F.struct(a.at.alias("start"), end.alias("end"), x.alias("text"))))
+        return F.struct(end.alias("at"), (~a.match).alias("match"), F.when(a.match, found).otherwise(a.out).alias("out"))
+
+    # A text that holds the mark itself is split at the matches, which are searched for once more.
+    pairs = F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0)), lambda g, m: F.array(g, m))
+    marked = lambda m: F.when(F.contains(m, F.lit("\0")), F.aggregate(F.split(m, "\0", -1), zero, step).out).otherwise(none)
+    apart = F.aggregate(F.filter(F.flatten(pairs), lambda x: x.isNotNull()), zero, step).out
+    return F.when(F.contains(text, F.lit("\0")), apart).otherwise(let(F.regexp_replace(text, p, F.lit("\0$0\0")), marked))
 
 
 def digit_guarded(text: Column, start: Column, end: Column) -> Column:

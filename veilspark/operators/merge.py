@@ -90,10 +90,16 @@ def trim_addresses(spans: DataFrame, views: DataFrame) -> DataFrame:
 
 def groups(spans: DataFrame) -> DataFrame:
     """Adds ``island``: spans of a page whose word intervals chain."""
+    return _groups(spans).drop("alone")
+
+
+def _groups(spans: DataFrame) -> DataFrame:
+    """``groups``, and whether a span is its island's only one."""
     order = W.partitionBy(PAGE).orderBy("w0", "w1", "seq")
     reach = F.max("w1").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("w0") > reach), 1).otherwise(0)
-    return spans.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("new")
+    alone = (F.col("new") == 1) & (F.coalesce(F.lead("new").over(order), F.lit(1)) == 1)
+    return spans.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("alone", alone).drop("new")
 
 
 def merge(spans: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -104,7 +110,12 @@ def merge(spans: DataFrame, settings: Settings | None = None) -> DataFrame:
     s = settings or Settings()
     size = F.col("w1") - F.col("w0") + 1
     rank = type_rank()
-    marked = groups(spans).withColumn("fixed", validated(s)).withColumn("rank", rank)
+    islands = _groups(spans)
+    ranked = lambda f: F.transform(F.array_sort(F.transform(f, lambda x: F.struct(finder_rank(x).alias("r"), x.alias("x")))), lambda x: x.x)
+    # Most islands are one span, which stays as it is.
+    own = F.when(F.size("finders") == 1, F.col("finders")).otherwise(ranked(F.array_distinct("finders")))
+    single = islands.where("alone").withColumn("finders", own).select(SPAN_COLUMNS)
+    marked = islands.where("not alone").withColumn("fixed", validated(s)).withColumn("rank", rank)
     body = F.struct("start", "end", "text", "type", "w0", "w1", "seq")
     key = F.struct(F.when(F.col("fixed"), 0).otherwise(1).alias("a"), (-size).alias("b"), (-F.length("text")).alias("c"), F.col("rank").alias("d"), (-F.col("confidence")).alias("e"), F.col("seq").alias("f"))
     votes = F.struct(F.col("rank").alias("rank"), (-F.col("confidence")).alias("c"), F.col("seq").alias("seq"), F.col("type").alias("type"))
@@ -112,14 +123,14 @@ def merge(spans: DataFrame, settings: Settings | None = None) -> DataFrame:
         F.min_by(body, key).alias("best"), F.max("fixed").alias("fixed"), F.min("w0").alias("g0"), F.max("w1").alias("g1"), F.max("confidence").alias("confidence"),
         F.array_sort(F.collect_list(votes)).alias("votes"), F.array_distinct(F.flatten(F.collect_list("finders"))).alias("f"),
     )
-    named = F.transform(F.array_sort(F.transform("f", lambda x: F.struct(finder_rank(x).alias("r"), x.alias("x")))), lambda x: x.x)
     fitting = F.filter("votes", lambda v: fits_type(v.type, F.col("best.text"), s))
     chosen = F.when(F.size(fitting) > 0, F.get(fitting, 0).type).otherwise(F.get("votes", 0).type)
-    return grouped.select(
+    merged = grouped.select(
         *PAGE, F.col("best.start").alias("start"), F.col("best.end").alias("end"), F.col("best.text").alias("text"),
-        F.when(F.col("fixed"), F.col("best.type")).otherwise(chosen).alias("type"), named.alias("finders"), "confidence",
+        F.when(F.col("fixed"), F.col("best.type")).otherwise(chosen).alias("type"), ranked(F.col("f")).alias("finders"), "confidence",
         F.when(F.col("fixed"), F.col("best.w0")).otherwise(F.col("g0")).alias("w0"), F.when(F.col("fixed"), F.col("best.w1")).otherwise(F.col("g1")).alias("w1"), F.col("best.seq").alias("seq"),
     )
+    return single.unionByName(merged)
 
 
 def fits_type(type_: Column, text: Column, settings: Settings) -> Column:

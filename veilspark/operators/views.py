@@ -105,4 +105,5 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
         return F.when(a.at >= F.length(text), a).otherwise(F.struct(following.cast("int").alias("at"), F.concat(a.out, F.array(item)).alias("out")).cast(state))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out")).cast(state)
-    return F.aggregate(F.sequence(F.lit(1), steps), begin, step).out
+    whole = F.array(F.struct(F.lit(0).alias("start"), text.alias("text")))
+    return F.when(F.length(text).between(1, size), whole).otherwise(F.aggregate(F.sequence(F.lit(1), steps), begin, step).out)
