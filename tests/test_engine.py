@@ -501,3 +501,20 @@ def test_propagation_keeps_what_touches_no_confirmed_word(spark):
     raw = spark.createDataFrame([("d", 1, 0, 9, "Asha Nair", "PERSON", ["gliner"], 0.9, 0, 1, 1), ("d", 1, 29, 38, "Asha Nair", "PERSON", ["gliner"], 0.9, 6, 7, 2)], "doc_id string, page_no int, start int, end int, text string, type string, finders array<string>, confidence double, w0 int, w1 int, seq long")
     found = sorted((r.page_no, r.start, r.end, r.w0, r.w1) for r in finders.propagate(views, raw, raw).collect())
     assert found == [(1, 14, 18, 3, 3), (1, 20, 24, 4, 4), (2, 0, 9, 0, 1), (2, 5, 9, 1, 1)]
+
+
+def test_surrogates_write_no_digests(spark, monkeypatch):
+    """Name fakes and the assigned entities are all that is written; digests and mailboxes are not."""
+    labels, real = [], surrogates.written
+    monkeypatch.setattr(surrogates, "written", lambda df, label: labels.append((label, df.columns)) or real(df, label))
+    people = spark.createDataFrame(
+        [("d", "P1", "PERSON", "asha nair", "Asha Nair", (1, 0, 1)), ("d", "EMAIL1", "EMAIL", "ashanairmailexample", "asha.nair7@mail.example", (1, 3, 2)), ("d", "ORG1", "ORG", "borealislimited", "Borealis Limited", (1, 5, 3))],
+        "doc_id string, entity_id string, type string, key string, canonical string, first struct<page_no:int,w0:int,seq:long>",
+    )
+    mentions = people.select("doc_id", "entity_id", "type", F.col("canonical").alias("text"))
+    found, told = surrogates.assign(people, mentions, Settings(salt="s"))
+    fakes = {r.entity_id: r.surrogate for r in found.collect()}
+    assert [label for label, _ in labels] == ["name-fakes", "named"] and not {"digest", "mailbox", "local"} & set(labels[1][1])
+    first, last = fakes["P1"].lower().split()
+    assert fakes["EMAIL1"] == f"{first}.{last}7@example.com" and fakes["ORG1"].endswith(" Limited") and fakes["ORG1"] != "Borealis Limited"
+    assert {r.entity_id: r.surrogate for r in told.collect()}["P1"] == fakes["P1"]

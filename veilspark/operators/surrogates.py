@@ -265,15 +265,18 @@ def assign(entities: DataFrame, mentions: DataFrame, settings: Settings | None =
     s = salted(settings or Settings())
     digest = stream(s.salt, F.concat(F.col("type"), F.lit("|"), normal_key(F.col("type"), F.col("canonical"))))
     names = F.coalesce("names", F.create_map().cast("map<string,string>"))
-    known = entities.join(name_dictionary(entities, s.salt), "doc_id", "left").withColumn("names", names).withColumn("digest", digest)
+    known = entities.join(name_dictionary(entities, s.salt), "doc_id", "left").withColumn("names", names)
     known = known.withColumn("local", F.when(F.col("type") == "EMAIL", F.substring_index("canonical", "@", 1)))
-    known = written(known, "digests")  # else each of the many uses of a digest or a name works it out anew
-    known = written(known.withColumn("mailbox", person_email(F.col("local"), F.col("names"))).drop("local"), "mailboxes")
-    mailbox = F.col("mailbox")
+    # Exploded, else each of the many uses of a mailbox or a digest works it out anew.
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
+    known = once(known, "mailbox", F.when(F.col("type") == "EMAIL", person_email(F.col("local"), F.col("names"))))
     fake = F.when(F.col("type") == "PERSON", render_person(F.col("canonical"), F.col("names")))
-    fake = fake.when((F.col("type") == "EMAIL") & mailbox.isNotNull(), F.concat(mailbox, F.lit("@example.com")))
-    named = written(known.withColumn("surrogate", fake.otherwise(entity_surrogate(F.col("type"), F.col("canonical"), F.col("digest")))), "named")
+    fake = once(known, "named", fake.when(F.col("mailbox").isNotNull(), F.concat("mailbox", F.lit("@example.com"))))
+    # Names and mailboxes of people need no digest.
+    fake = once(fake, "digest", F.when(F.col("named").isNull(), digest))
+    fake = fake.withColumn("surrogate", F.when(F.col("named").isNotNull(), F.col("named")).otherwise(entity_surrogate(F.col("type"), F.col("canonical"), F.col("digest"))))
+    named = written(fake.drop("local", "mailbox", "named", "digest"), "named")
     each = mentions.join(named.select("doc_id", "entity_id", F.col("surrogate").alias("whole"), "names"), ["doc_id", "entity_id"])
     shaped = F.col("type").isin(list(config.SHAPE_TYPES)) & (F.length(alnum(F.col("text"))) == F.length(alnum(F.col("whole"))))
     own = F.when(F.col("type") == "PERSON", render_person(F.col("text"), F.col("names"))).when(shaped, refit(F.col("text"), alnum(F.col("whole")))).otherwise(_cased(F.col("text"), F.col("whole")))
-    return named.drop("names", "digest", "mailbox"), each.withColumn("surrogate", own).drop("whole", "names")
+    return named.drop("names"), each.withColumn("surrogate", own).drop("whole", "names")
