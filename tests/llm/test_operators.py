@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -147,6 +148,22 @@ def test_secret_scan(spark, docs, empty):
     assert secrets.scan_versions(empty)[0].count() == 0
 
 
+def test_secret_scan_writes_few_files(spark):
+    """What a scan writes is small; the tasks that read the texts leave no file each."""
+    from veilspark.llm.common import shared_dir
+
+    rows = [(i, f"row {i % 300} token = abcdefgh{i % 300}") for i in range(400)]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    listing = lambda: set(Path(shared_dir(spark), "veilspark").glob("*/part-*"))
+    before = listing()
+    found, added = secrets.scan_versions(many)
+    assert (found.count(), added.count()) == (400, 300 * len(secrets.RULES))
+    tables = Counter(p.parent.name.partition("-")[0] for p in listing() - before)
+    assert set(tables) == {"paths", "blobs", "scanned"} and max(tables.values()) <= 4
+    again, _ = secrets.scan_versions(many, added)
+    same([(r.doc_id, *map(tuple, r.spans)) for r in again.collect()], [(i, (t.index("token"), 0, len(t), "assign")) for i, t in rows])
+
+
 def test_license_scan(docs, empty):
     def expect(i, t):
         w = TERM.findall(LOW(t or ""))

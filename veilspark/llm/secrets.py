@@ -3,7 +3,8 @@
 Every version of every path is addressed by the SHA-256 of its content. The ledger knows which (blob,
 rule version) pairs have been scanned and what was found; a run asks it by hashes, scans each unseen blob
 once, by the rules whose version the ledger lacks for it, and joins the findings back to all paths. Texts
-are scanned where they lie: no shuffle carries them.
+are scanned where they lie: no shuffle carries them. What is written has no texts, so it is gathered into
+few files, not one for each task that read texts: on local disks Hadoop starts processes for each file.
 """
 
 from __future__ import annotations
@@ -71,6 +72,12 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(may, walked).otherwise(none)
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Small rows in a partition for each core, split where they exceed the size that Spark advises; no key
+    decides where a row goes."""
+    return rows.hint("rebalance", rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Findings of every path, and the ledger rows that this run adds.
 
@@ -90,15 +97,17 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: l
     keys = [r.key for r in rules]
     text = F.coalesce(F.col("text"), F.lit(""))
     blob = F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob")
-    paths = materialize(versions.select("doc_id", blob), "paths")
+    paths = materialize(_gathered(versions.select("doc_id", blob)), "paths")
     all_due = F.array(*map(F.lit, keys))
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
     if ledger is None:
         blobs = blobs.withColumn("due", all_due)
     else:
-        known = ledger.where(F.col("rule").isin(keys)).select(F.unhex("blob").alias("blob"), "rule").groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        blobs = blobs.join(known, "blob", "left").select("blob", "owner", "n", F.when(F.col("done").isNull(), all_due).otherwise(F.array_except(all_due, "done")).alias("due"))
-    blobs = materialize(blobs, "blobs")
+        done = [F.bool_or(F.col("rule") == k).alias(f"done{i}") for i, k in enumerate(keys)]
+        known = ledger.where(F.col("rule").isin(keys)).select(F.unhex("blob").alias("blob"), "rule").groupBy("blob").agg(*done)
+        lacking = F.array(*(F.when(~F.coalesce(f"done{i}", F.lit(False)), k) for i, k in enumerate(keys)))
+        blobs = blobs.join(known, "blob", "left").select("blob", "owner", "n", F.array_compact(lacking).alias("due"))
+    blobs = materialize(_gathered(blobs), "blobs")
     due, plain = F.size("due") > 0, (F.col("n") == 1) & (F.size("due") == len(keys))
     n_due, n_special = blobs.agg(F.count_if(due), F.count_if(~plain)).first()
 
@@ -116,14 +125,15 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: l
         mine = F.col("special").isNull() | ((F.size("due") > 0) & F.col("doc_id").eqNullSafe(F.col("owner")))
         texts = texts.join(special, "blob", "left").where(mine).withColumn("due", F.coalesce("due", all_due))
 
-    # Written before anything filters on it, so that each pattern runs once over a text.
-    scanned = materialize(texts.select("blob", "due", *(F.when(F.array_contains("due", r.key), spans(F.col("text"), r, i)).alias(f"r{i}") for i, r in enumerate(rules))), "scanned")
+    # Gathered before anything filters on it, so that each pattern runs once over a text, and no text is sorted.
+    scanned = _gathered(texts.select("blob", *(F.when(F.array_contains("due", r.key), spans(F.col("text"), r, i)).alias(f"r{i}") for i, r in enumerate(rules))))
+    scanned = materialize(_gathered(scanned.dropDuplicates(["blob"])), "scanned")
     each = F.array(*(F.struct(F.lit(r.key).alias("rule"), F.col(f"r{i}").alias("spans")) for i, r in enumerate(rules)))
     added = scanned.select("blob", F.explode(F.filter(each, lambda x: x.spans.isNotNull())).alias("x"))
-    added = added.select(F.lower(F.hex("blob")).alias("blob"), "x.rule", "x.spans").dropDuplicates(["blob", "rule"])
+    added = added.select(F.lower(F.hex("blob")).alias("blob"), "x.rule", "x.spans")
 
     none = F.array().cast(SPANS)
-    found = scanned.select("blob", F.concat(*(F.coalesce(f"r{i}", none) for i in range(len(rules)))).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["blob"])
+    found = scanned.select("blob", F.concat(*(F.coalesce(f"r{i}", none) for i in range(len(rules)))).alias("spans")).where(F.size("spans") > 0)
     if ledger is not None:
         old = ledger.where(F.col("rule").isin(keys) & (F.size("spans") > 0)).select(F.unhex("blob").alias("blob"), "spans")
         found = found.unionByName(old).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a row for each rule and blob
